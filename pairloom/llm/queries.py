@@ -8,15 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .digest import digests
+from .simhash import simhash_components
 from .tokens import token_counts
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_components": op2_simhash_components,
     "op5_token_counts": op5_token_counts,
+    "op10_digest_likeness": op10_digest_likeness,
 }
 
 ORACLES: dict[str, str] = {}
