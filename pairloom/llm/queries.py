@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .digest import digests
+from .packing import packed_documents
+from .quality import quality_scores
 from .simhash import simhash_components
 from .tokens import token_counts
 
@@ -21,6 +23,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
@@ -28,6 +38,8 @@ def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_components": op2_simhash_components,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_scores": op6_quality_scores,
+    "op7_packed_documents": op7_packed_documents,
     "op10_digest_likeness": op10_digest_likeness,
 }
 
