@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows, and where Spark knows the setting the bytes, of a batch sent to Python."""
+    """Bounds the rows, and where Spark knows the setting the bytes, of a batch sent to Python.
+
+    Python workers are also told where this package lies, in case the driver found it by its own path only.
+    """
+    environment = spark.sparkContext.environment
+    home = str(Path(__file__).parents[2])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
