@@ -12,9 +12,14 @@ from .digest import digests
 from .packing import packed_documents
 from .quality import quality_scores
 from .simhash import simhash_components
+from .suffix import without_repeats
 from .tokens import token_counts
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash_components": op2_simhash_components,
     "op5_token_counts": op5_token_counts,
     "op6_quality_scores": op6_quality_scores,
