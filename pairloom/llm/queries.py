@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .digest import digests
+from .mixing import mixed
 from .packing import packed_documents
 from .quality import quality_scores
 from .simhash import simhash_components
 from .suffix import without_repeats
 from .tokens import token_counts
+from .urls import url_verdicts
+
+#: The rules of op8: verdict, host, path.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,10 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -36,6 +45,10 @@ def op7_packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
 def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
@@ -43,9 +56,11 @@ def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash_components": op2_simhash_components,
+    "op3_mixed_sources": op3_mixed_sources,
     "op5_token_counts": op5_token_counts,
     "op6_quality_scores": op6_quality_scores,
     "op7_packed_documents": op7_packed_documents,
+    "op8_url_verdicts": op8_url_verdicts,
     "op10_digest_likeness": op10_digest_likeness,
 }
 
