@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .digest import digests
+from .html import main_texts
 from .mixing import mixed
 from .packing import packed_documents
 from .quality import quality_scores
@@ -49,6 +50,10 @@ def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), RULES)
 
 
+def op9_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_digest_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_scores": op6_quality_scores,
     "op7_packed_documents": op7_packed_documents,
     "op8_url_verdicts": op8_url_verdicts,
+    "op9_main_texts": op9_main_texts,
     "op10_digest_likeness": op10_digest_likeness,
 }
 
