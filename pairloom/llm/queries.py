@@ -11,6 +11,7 @@ from .common import table
 from .digest import digests
 from .html import main_texts
 from .mixing import mixed
+from .neighbours import nearest
 from .packing import packed_documents
 from .quality import quality_scores
 from .simhash import simhash_components
@@ -34,6 +35,10 @@ def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash_components": op2_simhash_components,
     "op3_mixed_sources": op3_mixed_sources,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op5_token_counts": op5_token_counts,
     "op6_quality_scores": op6_quality_scores,
     "op7_packed_documents": op7_packed_documents,
