@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Bytes of an anchor. Bytes of text hashed together, of a partition of texts, of a shard of contexts.
-ANCHOR, CHUNK, PART, SHARD = 32, 4 << 20, 24 << 20, 6 << 20
+ANCHOR, CHUNK, PART, SHARD = 32, 256 << 10, 24 << 20, 2 << 20
+#: Contexts of one anchor beyond which they meet by what stands before or behind it too.
+CROWD = 2000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _MOST = np.uint64(2**64 - 1)
@@ -191,6 +193,7 @@ def repeats(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int,
     """For each context (bytes without zero bytes of a document's from a place on), which of the strings of this
     length in it also start earlier, in any of the contexts: a Boolean for each place they can start at."""
     found = [np.zeros(max(0, len(r) - length + 1), bool) for r in rows]
+    history: list[tuple] = []
     cuts, size = [0], 0
     for k, r in enumerate(rows):
         size += len(r) + 1
@@ -199,21 +202,19 @@ def repeats(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int,
             size = 0
     merged: tuple | None = None
     for lo, hi in zip(cuts, cuts[1:], strict=False):
-        own = _classes(rows[lo:hi], doc[lo:hi], start[lo:hi], length)
-        own = (own[0], own[1], own[2], own[3] + lo, own[4])
-        keep_strings = len(cuts) > 2
-        text, d, s, who, place = own
+        text, d, s, who, place = _classes(rows[lo:hi], doc[lo:hi], start[lo:hi], length, len(cuts) == 2)
+        who = who + lo
         first = np.ones(len(d), bool)
         first[1:] = text[1:] != text[:-1] if len(text) else first[1:]
         group = np.cumsum(first) - 1
         for r in np.flatnonzero((d != d[first][group]) | (s != s[first][group])).tolist() if len(d) else []:
             found[who[r]][place[r]] = True
-        if not keep_strings:
+        if len(cuts) == 2:
             break
         strings, fd, fs = text[first], d[first], s[first]
         if merged is None:
             merged = (strings, fd, fs)
-            history = [(text, d, s, who, place)]
+            history.append((text, d, s, who, place))
             continue
         history.append((text, d, s, who, place))
         # merge by binary search: strings of this shard among those of the shards before
@@ -244,8 +245,9 @@ def repeats(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int,
     return found
 
 
-def _classes(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple:
-    """All strings of one shard, sorted, those alike by (doc, start): string (or class, if alone), doc, start, row, place."""
+def _classes(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, alone: bool) -> tuple:
+    """Strings of one shard, sorted, those alike by (doc, start): string, doc, start, row, place. For a shard that is alone,
+    only those of classes of two and more, by their class's number."""
     joined = np.frombuffer(b"\0".join(rows) + b"\0", np.uint8)
     sizes = np.array([len(r) + 1 for r in rows])
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -258,13 +260,15 @@ def _classes(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int)
     label = np.empty(len(joined), np.int64)
     label[order] = np.cumsum(fresh)
     at = order[whole[order]]
+    if alone:
+        at = at[np.bincount(label[at], minlength=label[order[-1]] + 1)[label[at]] > 1]
     d, s = doc[row[at]], start[row[at]] + place[at]
     by = np.lexsort((s, d, label[at]))
     at, d, s = at[by], d[by], s[by]
-    return _strings(joined, at, label[at], length), d, s, row[at], place[at]
+    return label[at] if alone else _strings(joined, at, length), d, s, row[at], place[at]
 
 
-def _strings(joined: np.ndarray, at: np.ndarray, label: np.ndarray, length: int) -> np.ndarray:
+def _strings(joined: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     if not len(at):
         return np.zeros(0, f"S{length}")
     wide = np.concatenate([joined, np.zeros(length, np.uint8)])
@@ -331,8 +335,9 @@ def _columns(held: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 #: What a group of one anchor says of a partition's folded context: all its places hold earlier strings only; all
-#: but the first do; the same, and the first is to be compared with other contexts. SPAN: strings lo to hi start so.
-ALL, LATER, COMPARE, SPAN = 0, 1, 2, 3
+#: but the first do; the same, and the first is to be compared with other contexts (with very many: CROWDED). SPAN:
+#: strings lo to hi start so.
+ALL, LATER, COMPARE, SPAN, CROWDED = 0, 1, 2, 3, 4
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +359,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_c = new_a.copy()
         new_c[1:] |= c[1:] != c[:-1]
         group = np.cumsum(new_a) - 1
-        many = np.bincount(group, new_c)[group] > 1
-        kind = np.where(new_c, np.where(many, COMPARE, LATER), ALL)
+        differ = np.bincount(group, new_c)[group]
+        many = differ > 1
+        kind = np.where(new_c, np.where(differ > CROWD, CROWDED, np.where(many, COMPARE, LATER)), ALL)
         keep = many | ~new_c | (n > 1)
         yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(c[keep]), pa.array(doc[keep]), pa.array(at[keep])], names=["part", "kind", "a", "c", "lo", "hi"])
 
@@ -399,6 +405,17 @@ def _sides(left: pa.Table) -> tuple[int, np.ndarray, np.ndarray, list[bytes]]:
     return next(_whole(iter(left.combine_chunks().to_batches())))
 
 
+def _halves(a: int, context: bytes, at: int, length: int) -> list[int]:
+    """Where a crowd's context meets others: a string around the anchor holds half of its further bytes on one side."""
+    half = (length - ANCHOR) // 2
+    sides = []
+    if at >= half:
+        sides.append(b"<" + context[at - half : at])
+    if len(context) - at - ANCHOR >= half:
+        sides.append(b">" + context[at + ANCHOR : at + ANCHOR + half])
+    return [int.from_bytes(hashlib.blake2b(b"%d" % a + s, digest_size=8).digest(), "little", signed=True) for s in sides]
+
+
 def _wanted(length: int):
     """Contexts to compare, of a partition of texts and the verdicts on it."""
 
@@ -410,11 +427,13 @@ def _wanted(length: int):
             for first, data, starts, at, a, text, lo, hi, c in _part_anchors(ids, texts, length):
                 row = _matched(a, c, said)
                 place = at - starts[text]
-                ok = (row >= 0) & (said[0][row] == COMPARE) & (said[3][row] == ids[first + text]) & (said[4][row] == place)
+                ok = (row >= 0) & (said[0][row] >= COMPARE) & (said[3][row] == ids[first + text]) & (said[4][row] == place)
                 for k in np.flatnonzero(ok).tolist():
                     t = first + int(text[k])
-                    for column, value in zip(out, (part, int(a[k]), int(ids[t]), int(keys[t]), int(lo[k] - starts[text[k]]), data[lo[k] : hi[k]].tobytes()), strict=True):
-                        column.append(value)
+                    context = data[lo[k] : hi[k]].tobytes()
+                    for meets in [int(a[k])] if said[0][row[k]] == COMPARE else _halves(int(a[k]), context, int(at[k] - lo[k]), length):
+                        for column, value in zip(out, (part, meets, int(ids[t]), int(keys[t]), int(lo[k] - starts[text[k]]), context), strict=True):
+                            column.append(value)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["part", "a", "doc", "key", "start", "bytes"])
 
@@ -426,8 +445,7 @@ def _compared(length: int):
 
     def judge(rows: list) -> Iterator[pa.RecordBatch]:
         part, _, doc, key, start, data = (np.array(v) if k < 5 else v for k, v in enumerate(zip(*rows, strict=True)))
-        # the separator is 0: a text's own zero bytes become 1, and its ones and twos two bytes each would shift places
-        found = repeats([_free(d) for d in data], doc, start, length)
+        found = repeats([_free(d) for d in data], doc, start, length, 2 * SHARD)
         out: list[list] = [[], [], [], [], []]
         for k, hit in enumerate(found):
             if hit.any():
@@ -439,15 +457,22 @@ def _compared(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([SPAN] * len(out[0]), pa.int32()), *(pa.array(v, pa.int64()) for v in out[1:])], names=["part", "kind", "a", "c", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
+        rows: list = []  # whole groups
+        group: list = []
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if size >= SHARD and row[1] != rows[-1][1]:
-                    yield from judge(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[5])
+                if group and row[1] != group[-1][1]:
+                    if len(group) > 1:  # who is alone has no one to compare with
+                        rows += group
+                        size += sum(len(r[5]) for r in group)
+                    group = []
+                    if size >= SHARD:
+                        yield from judge(rows)
+                        rows, size = [], 0
+                group.append(row)
+        if len(group) > 1:
+            rows += group
         if rows:
             yield from judge(rows)
 
@@ -459,7 +484,16 @@ def _free(data: bytes) -> bytes:
     return data.replace(b"\0", b"\xff")
 
 
-def _cleaned(length: int, keep_text: bool):
+def _kept_text(data: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the characters all of whose bytes are gone."""
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(begins):
+        return ""
+    whole = np.minimum.reduceat(gone.view(np.uint8), begins).astype(bool)
+    return data[~np.repeat(whole, np.diff(np.append(begins, len(data))))].tobytes().decode()
+
+
+def _cleaned(length: int, keep_text: bool, carried: list[str]):
     """Texts without what the verdicts on their anchors and the spans cover."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -492,37 +526,59 @@ def _cleaned(length: int, keep_text: bool):
                     removed = int(gone.sum())
                     rest = data[s:e][~gone].tobytes() if removed else texts[first + t]
                     runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1)) if removed else 0
-                    for column, value in zip(out, (int(ids[first + t]), e - s, removed, runs, hashlib.sha256(rest).hexdigest(), rest if keep_text else None), strict=True):
+                    for column, value in zip(out, (int(ids[first + t]), e - s, removed, runs, hashlib.sha256(rest).hexdigest(), _kept_text(data[s:e], gone) if keep_text else None), strict=True):
                         column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         n = 6 if keep_text else 5
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:n]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out[:n], kinds, strict=False)], names=names)
+        rest_of = left.select(carried)
+        return pa.Table.from_arrays([*(pa.array(v, k) for v, k in zip(out[:n], kinds, strict=False)), *rest_of.columns], names=[*names, *carried])
 
     return run
 
 
-def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False) -> DataFrame:
-    """One row per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes, with keep_text).
+def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text kept, the text left.
+
+    (kept holds whole characters: one of which some bytes are removed and others not stays.) The columns in carry
+    come along.
 
     Removed is each byte that a string of `length` bytes covers which also starts earlier: in a row of a smaller
     id, or in a row of the same id at an earlier byte. Null texts are empty; shorter texts lose nothing; texts
     are read whole. Rows of one id that are alike do not remove each other; a null id counts as the least and comes
-    back null. Other columns are ignored; an empty table gives no rows.
+    back null. Columns not named are ignored; an empty table gives no rows.
 
     Texts are dealt once, by a hash of their id, and that exchange serves all three passes over them.
     """
     spark = df.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
+    own = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"), *[F.col(c).alias(f"__{c}") for c in carry])
+    carried = [f"__{c}" for c in carry]
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
-    dealt = own.select(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part"), "doc", "key", "text").repartition(parts, F.col("part"))
+    dealt = own.select(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part"), "doc", "key", "text", *carried).repartition(parts, F.col("part"))
     folded = dealt.sortWithinPartitions("part").mapInArrow(_folded(length), _GROUP)
     said = folded.repartition(parts, F.col("a")).sortWithinPartitions("a", "c", "doc", "at").mapInArrow(_judged, _SAID)
-    wanted = dealt.groupBy("part").cogroup(said.where(F.col("kind") == COMPARE).groupBy("part")).applyInArrow(_wanted(length), "part int, a long, doc long, key long, start long, bytes binary")
+    wanted = dealt.groupBy("part").cogroup(said.where(F.col("kind").isin(COMPARE, CROWDED)).groupBy("part")).applyInArrow(_wanted(length), "part int, a long, doc long, key long, start long, bytes binary")
     spans = wanted.repartition(parts, F.col("a")).sortWithinPartitions("a", "doc", "start").mapInArrow(_compared(length), _SAID)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    out = dealt.groupBy("part").cogroup(said.unionByName(spans).groupBy("part")).applyInArrow(_cleaned(length, keep_text), schema)
-    return out.select(F.nullif(F.col("doc_id"), F.lit(_LEAST)).alias(id_col), *out.columns[1:])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    schema += "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carried)
+    out = dealt.groupBy("part").cogroup(said.unionByName(spans).groupBy("part")).applyInArrow(_cleaned(length, keep_text, carried), schema)
+    return out.select(F.nullif(F.col("doc_id"), F.lit(_LEAST)).alias(id_col), *[F.col(f"`{c}`").alias(c.removeprefix("__")) for c in out.columns[1:]])
+
+
+def cleaned(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """The rows of df in its columns, each text without its repeated strings; a column n_chars is counted anew.
+
+    A text of which nothing is left stays, empty. Of a character removed in part all stays. A null text comes back
+    empty.
+    """
+    carry = tuple(c for c in df.columns if c not in (id_col, text_col))
+    plain = {c: f"own_{k}" for k, c in enumerate(carry)}  # no clash with the columns that are added
+    out = without_repeats(df.withColumnsRenamed(plain), id_col=id_col, text_col=text_col, length=length, keep_text=True, carry=tuple(plain.values()))
+    found = {c: F.col(plain.get(c, c)).alias(c) for c in df.columns if c != text_col}
+    found[text_col] = F.col("kept").alias(text_col)
+    if "n_chars" in carry:
+        found["n_chars"] = F.char_length("kept").cast(df.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[found[c] for c in df.columns])

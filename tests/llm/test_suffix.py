@@ -47,14 +47,30 @@ def made(seed, n):
     return rows + [(10 * n + 1, "ab" * 3000), (10 * n + 2, "x" * 1000), (10 * n + 3, "x" * 99), (10 * n + 4, None), (10 * n + 5, ""), (10 * n + 6, "ab" * 90), (None, "x" * 120)]
 
 
-@pytest.mark.parametrize("shard", [S.SHARD, 3000])
-def test_made(spark, shard, monkeypatch):
-    monkeypatch.setattr(S.repeats, "__defaults__", (shard,))
+def test_made(spark):
     rows = made(4, 120)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, part int, a int")
     assert got(df) == slow(rows)
 
 
+def test_crowd(monkeypatch):
+    import pyarrow as pa
+
+    rows = made(5, 80)
+    texts = sorted((-5 if i is None else i, (t or "").encode()) for i, t in rows)
+    ids = np.array([i for i, _ in texts])
+    for crowd in (2000, 1):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        left = pa.RecordBatch.from_arrays([pa.array([3] * len(ids), pa.int32()), pa.array(ids), pa.array(ids), pa.array([t for _, t in texts])], names=["part", "doc", "key", "text"])
+        folded = pa.Table.from_batches(list(S._folded(100)(iter([left])))).sort_by([(n, "ascending") for n in ("a", "c", "doc", "at")])
+        said = pa.Table.from_batches(list(S._judged(iter(folded.combine_chunks().to_batches()))))
+        assert crowd > 1 or S.CROWDED in said["kind"].to_pylist()
+        wanted = S._wanted(100)(pa.Table.from_batches([left]), said).sort_by([(n, "ascending") for n in ("a", "doc", "start")])
+        spans = list(S._compared(100)(iter(wanted.combine_chunks().to_batches())))
+        out = S._cleaned(100, False, [])(pa.Table.from_batches([left]), pa.concat_tables([said, pa.Table.from_batches(spans)]))
+        assert sorted(zip(*(out[n].to_pylist() for n in out.column_names), strict=True)) == sorted((-5 if r[0] == -(1 << 63) else r[0], *r[1:]) for r in slow(rows))
+
+
 @pytest.mark.parametrize("shard", [6 << 20, 2000])
 def test_repeats(shard):
     rows = [(-1 if i is None else i, (t or "").encode().replace(b"\0", b"\xff")) for i, t in made(7, 60)]
@@ -94,3 +110,13 @@ def test_same_id(spark):
     rows = got(df)
     assert len(rows) == 4 and rows[1:3] == [rows[1]] * 2
     assert S.without_repeats(df.where("false")).count() == 0
+
+
+def test_cleaned(spark):
+    shared = "".join(chr(224 + k * k % 31) for k in range(60)) + " shared words stand here for all to see, again and again"
+    rows = [(1, "A " + shared, "x", 5, 1), (2, "B " + shared + " end", None, 6, 2), (3, None, "z", 0, 3), (4, shared, "x", 1, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_chars long, n_spans int")
+    out = {r.doc_id: r for r in S.cleaned(df).collect()}
+    assert out[1].text == "A " + shared and out[2].text == "B end" and out[3].text == "" and out[4].text == ""
+    assert all(r.n_chars == len(r.text) for r in out.values()) and S.cleaned(df).columns == df.columns
+    assert [(out[k].kept, out[k].n_spans) for k in (1, 2, 3, 4)] == [(r[2], r[4]) for r in rows]
