@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ POUNDS = r"(?U)(?<=\d)\s*(?:pounds| lbs)"
 FRACTION = r"(\d+-\d+/\d+)inch"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fractional_inches(text: Column) -> Column:
     """11-1/8inch becomes 11.1inch, rounded half to even; a denominator of zero stays as it is."""
 
@@ -24,7 +31,7 @@ def fractional_inches(text: Column) -> Column:
     def step(done: Column, found: Column) -> Column:
         return F.coalesce(F.replace(done, F.concat(found, F.lit("inch")), F.concat(decimal(found).cast("string"), F.lit("inch"))), done)
 
-    return F.when(text.rlike(FRACTION), F.aggregate(F.regexp_extract_all(text, F.lit(FRACTION), F.lit(1)), text, step)).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(FRACTION), F.aggregate(F.regexp_extract_all(t, F.lit(FRACTION), F.lit(1)), t, step)).otherwise(t))
 
 
 def clean(text: Column) -> Column:
@@ -37,8 +44,12 @@ def clean(text: Column) -> Column:
 def clean_map(features: Column) -> Column:
     """Keys and values cleaned; of keys that become one the last value stays."""
     entries = F.transform(F.map_entries(features), lambda e: F.struct(clean(e["key"]).alias("key"), clean(e["value"]).alias("value")))
-    last = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.greatest(F.size(entries) - k - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+    def put(done: Column, e: Column) -> Column:
+        return F.map_concat(F.map_filter(done, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))
+
+    return F.aggregate(entries, empty, put)
 
 
 def words(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Matching
 from ..functions import similarity as S
 from ..functions import tokens as T
-from ..functions.text import plain_title, words
+from ..functions.text import let, plain_title, words
 
 DEFAULT = Matching()
 
@@ -27,9 +27,8 @@ def brands(raw: DataFrame) -> DataFrame:
 def prepared(products: DataFrame, known: DataFrame) -> DataFrame:
     """Each product's features that pairs are judged by. known: brand, the brands that count; its size is checked
     by Spark before it is broadcast."""
-    title = plain_title(F.col("title"))
-    found = T.model_words(title)
-    own = products.select(
+    title, found = F.col("plain"), F.col("found")
+    own = products.withColumn("plain", plain_title(F.col("title"))).withColumn("found", T.model_words(title)).select(
         "product_id", "shop", "features", F.size("features").alias("n_features"), T.brand(F.col("features")).alias("own_brand"),
         T.screen_sizes(F.col("features")).alias("sizes"), T.value_words(F.col("features")).alias("value_words"),
         F.struct(F.array_distinct(words(title)).alias("words"), found.alias("model_words"), T.hybrids(found).alias("hybrids")).alias("title"),
@@ -93,12 +92,16 @@ def attribute_match(a: Column, b: Column, m: Matching) -> Column:
     """
     start = F.struct(F.lit(0).alias("m"), F.lit(0.0).alias("w"), F.lit(0.0).alias("sim"), F.array().cast("array<string>").alias("keys_a"), F.array().cast("array<string>").alias("keys_b"))
 
+    def grams(features: Column) -> Column:
+        return F.transform(F.map_entries(features), lambda e: F.struct(e["key"].alias("key"), S.qgrams(e["key"], m.q).alias("k"), S.qgrams(e["value"], m.q).alias("v")))
+
     def add(t: Column, x: Column, y: Column) -> Column:
-        key = S.qgram_similarity(x["key"], y["key"], m.q)
-        hit = F.struct((t["m"] + 1).alias("m"), (t["w"] + key).alias("w"), (t["sim"] + key * S.qgram_similarity(x["value"], y["value"], m.q)).alias("sim"), F.array_append(t["keys_a"], x["key"]).alias("keys_a"), F.array_append(t["keys_b"], y["key"]).alias("keys_b"))
-        return F.when(key > m.gamma, hit).otherwise(t)
+        def hit(key: Column) -> Column:
+            return F.struct((t["m"] + 1).alias("m"), (t["w"] + key).alias("w"), (t["sim"] + key * S.shared_part(x["v"], y["v"])).alias("sim"), F.array_append(t["keys_a"], x["key"]).alias("keys_a"), F.array_append(t["keys_b"], y["key"]).alias("keys_b"))
+
+        return let(S.shared_part(x["k"], y["k"]), lambda key: F.when(key > m.gamma, hit(key)).otherwise(t))
 
-    return F.aggregate(F.map_entries(a), start, lambda t, x: F.aggregate(F.map_entries(b), t, lambda u, y: add(u, x, y)))
+    return let(grams(b), lambda other: F.aggregate(grams(a), start, lambda t, x: F.aggregate(other, t, lambda u, y: add(u, x, y))))
 
 
 def distances(pairs: DataFrame, m: Matching = DEFAULT, *, fast: bool = False) -> DataFrame:
@@ -119,8 +122,11 @@ def distances(pairs: DataFrame, m: Matching = DEFAULT, *, fast: bool = False) ->
         match = F.col("match")
         share = F.coalesce(F.try_divide(match["m"], F.least(a["n_features"], b["n_features"])), F.lit(0.0))
         mean = F.coalesce(F.try_divide(match["sim"], match["w"]), F.lit(0.0))
-        left = [T.value_words(F.map_filter(x["features"], lambda k, _, keys=keys: ~F.array_contains(keys, k))) for x, keys in ((a, match["keys_a"]), (b, match["keys_b"]))]
-        rest = S.jaccard(*left)
+
+        def without(features: Column, keys: Column) -> Column:
+            return T.value_words(F.map_filter(features, lambda k, _: ~F.array_contains(keys, k)))
+
+        rest = S.jaccard(without(a["features"], match["keys_a"]), without(b["features"], match["keys_b"]))
     plain = share * mean + (1 - share) * rest
     titled = (1 - m.mu) * share * mean + (1 - m.mu - (1 - m.mu) * share) * rest + m.mu * F.col("title")
     h = F.when(F.col("title").isNull(), plain).otherwise(titled)
