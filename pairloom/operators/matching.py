@@ -80,9 +80,13 @@ def like_size(own: DataFrame, gap: float = 1.0) -> DataFrame:
 
 
 def of_pairs(own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of the features of given pairs id_a, id_b."""
+    """(a, b) of the features of given pairs id_a, id_b.
+
+    Pairs are few bytes and much work, so they are dealt out by number, which Spark does not undo for their size.
+    """
     a, b = _sides(own)
-    return pairs.join(a, F.col("id_a") == F.col("a.product_id")).join(b, F.col("id_b") == F.col("b.product_id")).select("a", "b")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(a, F.col("id_a") == F.col("a.product_id")).join(b, F.col("id_b") == F.col("b.product_id")).repartition(parts, "id_a", "id_b").select("a", "b")
 
 
 def attribute_match(a: Column, b: Column, m: Matching) -> Column:

@@ -26,7 +26,8 @@ M = Matching()
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean products, written once: all that follows reads them several times."""
+    """Clean products, written once: all that follows reads them several times, in as many partitions as there are cores
+    at least (a small table is one file, which one task would read and clean)."""
     return _kept(clean_parts(spark, sf_dir))
 
 

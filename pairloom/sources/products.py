@@ -72,9 +72,15 @@ def first(products: DataFrame, n: int = 200) -> DataFrame:
     return products.where(F.col("product_id") <= n)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least; one that has them is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table part as raw products: units in several spellings, some without brand or size, some rich in attributes."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     p, size = F.col("p_partkey"), F.col("p_size").cast("string")
     spelled = F.when(p % 4 == 0, F.concat(size, F.lit("-Inch"))).when(p % 4 == 1, F.concat(size, F.lit('"'))).when(p % 4 == 2, F.concat(size, F.lit(" inches"))).otherwise(F.concat(size, F.lit("inch")))
     more = F.when(p % 6 == 0, F.lit(" 120 Hz")).when(p % 6 == 1, F.lit(" 60-hertz")).when(p % 6 == 2, F.lit(" 25 pounds")).when(p % 9 == 3, F.concat(F.lit(" "), size, F.lit('-1/8"'))).otherwise(F.lit(""))
