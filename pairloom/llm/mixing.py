@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import json
 from heapq import heapify, heappop, heappush
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of a block; slots of the first period; sources at most (weights are a list that someone sets).
 BLOCK, PERIOD, SOURCES = 8, 1000, 512
-#: Rows ranked in one window, about.
-RANKED = 20_000
+#: Rows ranked in one window, about; with more rows in all their square root, so that windows are no more than that.
+RANKED = 2000
 
 
 def whole_shares(weights: list[float], period: int) -> list[int]:
@@ -97,7 +98,7 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     # at most SOURCES rows of at most SOURCES * period slots in all
     schedule = spark.range(1).select(F.explode(rows).alias("x")).select(F.col("x.s").alias("__source"), F.col("x.phases").alias("__phases"))
     total = sum(counts.values())
-    bits = max(1, (total // RANKED).bit_length())
+    bits = max(1, (total // max(RANKED, isqrt(total))).bit_length())
     own = df.drop("block", "slot", "place").withColumn("__source", source).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col)))
     own = own.withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - bits))
     # A source's rows are ranked bucket by bucket, so a large source is many windows.
