@@ -28,6 +28,10 @@ from .common import checkpointed, small_batches, texts
 BITS = 64
 #: Members of a group that one task links by itself.
 GROUP = 4096
+#: Sets of a component whose similarity one task takes; a larger one is compared in tiles of so many.
+TILE = 1024
+#: Fingerprints of a set of shingles, by differently mixed hashes: a similar pair is near in one of them at least.
+MIXES = 3
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> list[int]:
@@ -146,14 +150,14 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _filed(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, value, fp): each fingerprint under the values that it may share with a near one."""
+def _filed(distinct: DataFrame, parts: list[tuple[list[int], int]], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, part, value, fp): each fingerprint under the values that it may share with a near one."""
     keys = []
     for k, (bits, t) in enumerate(parts):
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         flips = [list(f) for d in range(t + 1) for f in combinations(bits, d)]
         keys += [F.struct(F.lit(k).alias("part"), value.bitwiseXOR(F.lit(_mask(f))).alias("value")) for f in flips]
-    return distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.part", "key.value", "fp")
+    return distinct.select(*by, "fp", F.explode(F.array(*keys)).alias("key")).select(*by, "key.part", "key.value", "fp")
 
 
 def forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -231,18 +235,22 @@ def _parted(distinct_groups: DataFrame, key: list[str], group: int) -> tuple[Dat
     return met.where(F.col("size") <= group).drop("size"), met.where(F.col("size") > group)
 
 
-def links(distinct: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b): links between fingerprints within the distance that connect whatever all such links connect.
 
-    distinct: fp, without repeats. The links found are true ones, at most one fewer than a group's members.
+    distinct: fp, without repeats; with `by`, whole numbers, links are sought among rows of equal `by` only. The links
+    found are true ones, at most one fewer than a group's members.
     """
     n, both = _bit_counts(distinct)
     if n < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    if by:
+        most = distinct.groupBy(*by).count().agg(F.max("count")).first()[0]
+        n, both = most, both * (most / n)
     parts = plan(n, both, distance)
-    few, many = _parted(_filed(distinct, parts), ["part", "value"], group)
+    few, many = _parted(_filed(distinct, parts, by), [*by, "part", "value"], group)
     many = checkpointed(many)
-    out = _linked(few, ["part", "value"], distance)
+    out = _linked(few, [*by, "part", "value"], distance)
     if many.isEmpty():
         return out
     # Any two within the distance agree on one of distance + 1 further partitions of the bits that they need not share.
@@ -251,9 +259,9 @@ def links(distinct: DataFrame, distance: int = 3, group: int = GROUP) -> DataFra
         rest = [b for b in range(BITS) if t or b not in bits]
         cuts = [rest[len(rest) * j // (distance + 1) : len(rest) * (j + 1) // (distance + 1)] for j in range(distance + 1)]
         own = [F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("rest")) for j, c in enumerate(cuts)]
-        rows = many.where(F.col("part") == k).select("part", "value", F.explode(F.array(*own)).alias("key"), "fp").select("part", "value", "key.*", "fp")
+        rows = many.where(F.col("part") == k).select(*by, "part", "value", F.explode(F.array(*own)).alias("key"), "fp").select(*by, "part", "value", "key.*", "fp")
         finer = rows if finer is None else finer.unionByName(rows)
-    key = ["part", "value", "sub", "rest"]
+    key = [*by, "part", "value", "sub", "rest"]
     few, many = _parted(finer, key, group)
     out = out.unionByName(_linked(few, key, distance))
     # Tiles: chunks of half a group's bound, every two of them together.
@@ -286,7 +294,118 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Of repeated rows with that id one stays. Rows without an id stay, as nothing tells them apart.
     """
-    found = simhash_components(df, id_col=id_col, text_col=text_col, **how)
+    return _lowest_rows(df, simhash_components(df, id_col=id_col, text_col=text_col, **how), id_col)
+
+
+def _lowest_rows(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
     kept = df.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+
+
+def shingle_sets(rows: list[str], words: int, seed: int) -> list[np.ndarray]:
+    """The distinct shingles' hashes of each text, ascending."""
+    return [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)) for t in rows]
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+def set_fingerprints(own: np.ndarray) -> list[int]:
+    """MIXES fingerprints of a set of hashes, as signed longs; 0 without shingles."""
+    out = []
+    for k in range(MIXES):
+        x = own + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the pairs of sets with this Jaccard similarity."""
+    sizes = np.array([len(s) for s in sets])
+    edges, left = [], np.arange(len(sets))
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            k = front.pop()
+            near = np.minimum(sizes[left], sizes[k]) >= similarity * np.maximum(sizes[left], sizes[k])
+            for at in np.flatnonzero(near).tolist():
+                near[at] = _jaccard(sets[k], sets[int(left[at])]) >= similarity
+            found = left[near]
+            left = left[~near]
+            edges += [(k, int(j)) for j in found]
+            front += found.tolist()
+    return edges
+
+
+def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, distance: int = 12, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """id_col and component_id (the smallest id of its component) for each row of df with an id.
+
+    Links are pairs whose sets of shingles have this Jaccard similarity, exactly taken. Equal sets fold into one.
+    Candidates are within the distance in one of MIXES fingerprints of the sets; a similar pair that is further
+    apart in all of them, and not connected otherwise, is missed (at 12 bits and a similarity of just 0.8 about one
+    in 200 by the angle between the sets). As similar sets are of similar size, fingerprints meet only among those
+    of their own class of sizes or the next. Whatever candidates connect is then compared by its sets, read again
+    from the texts; more than `tile` sets in tiles. Texts without words are alike.
+    """
+    small_batches(df.sparkSession)
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def made(with_sets: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = shingle_sets(texts(batch.column(1)), words, seed)
+                keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
+                if with_sets:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
+                    continue
+                fps = pa.array([set_fingerprints(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), fps, pa.array([len(s) for s in sets], pa.int64())], names=["id", "key", "fps", "size"])
+
+        return run
+
+    own = checkpointed(rows.mapInArrow(made(False), f"id {id_type}, key long, fps array<long>, size long"))
+    distinct = checkpointed(own.groupBy("key").agg(F.min("id").alias("least_id"), F.first("fps").alias("fps"), F.first("size").alias("size")))
+    # Sizes within the similarity are at most one class apart; the classes are a little wider, against rounding.
+    width = float(np.log(1 / similarity) * 1.01)
+    class_ = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(width)).cast("long")
+    each = distinct.select("key", class_.alias("sizes"), F.posexplode("fps").alias("mix", "fp"))
+    classed = each.select("mix", F.explode(F.array("sizes", F.col("sizes") + 1)).alias("sizes"), "fp").distinct()
+    near = links(checkpointed(classed), distance, by=("mix", "sizes")).distinct()
+    of_fp = each.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    edges = near.join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
+    edges = edges.unionByName(each.join(of_fp.where("n > 1"), "fp").select(F.col("key").alias("u"), F.col("first").alias("v")))
+    labels = connected_components(edges, "u", "v")
+    named = distinct.select("key", "least_id").join(labels.select(F.col("node").alias("key"), "component"), "key")
+    members = named.groupBy("component").agg(F.count("*").alias("members"))
+    met = checkpointed(named.join(members, "component").select("component", "members", "key", "least_id"))
+    read = rows.join(met.select(F.col("least_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(made(True), "key long, shingles binary")
+    chunks = F.ceil(F.col("members") / F.lit(tile // 2)).cast("int")
+    chunks = F.when(F.col("members") <= tile, F.lit(1)).otherwise(chunks)
+    tiled = met.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    tiled = tiled.join(read.dropDuplicates(["key"]), "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiled = tiled.select("component", F.least("c", "o").alias("low"), F.greatest("c", "o").alias("high"), "key", "shingles")
+
+    def verified(group: pa.Table) -> pa.Table:
+        keys = group["key"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+        edges = np.array(similar_forest(sets, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(keys[edges[:, 0]]), "b": pa.array(keys[edges[:, 1]])})
+
+    similar = connected_components(tiled.groupBy("component", "low", "high").applyInArrow(verified, "a long, b long"), "a", "b")
+    joined = distinct.select("key", "least_id").join(similar.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    lowest = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return own.select("id", "key").join(joined.join(lowest, "component").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """one_of_each() by near_copies()."""
+    return _lowest_rows(df, near_copies(df, id_col=id_col, text_col=text_col, **how), id_col)
