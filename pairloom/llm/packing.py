@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,6 +27,8 @@ from .common import checkpointed, small_batches, texts
 REMEMBERED = 700_000
 #: Pieces of a partition; rounds in which partitions with a gap put everything back; room that reopens a bin.
 SHARE, ROUNDS, ROOM = 60_000, 3, 0.03
+#: Consecutive rows that packed_in_order() packs together.
+STRETCH = 2048
 
 
 def _byte_symbols() -> list[str]:
@@ -222,3 +225,49 @@ def packed_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     """
     own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return packed(checkpointed(pieces(own, vocabulary, capacity=capacity)), capacity=capacity, share=share).withColumnRenamed("doc_id", id_col)
+
+
+def in_stretches(df: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """df with __stretch and __at: its rows, in the order in which they stand, in runs of so many, and their places there.
+
+    Rows of files stand in the order of the files' names and then of the rows; others in that of the partitions.
+    """
+    try:
+        place = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not read from files
+        row = F.monotonically_increasing_id()
+        place = df.withColumn("__row", row).withColumn("__file", F.lpad(F.shiftright("__row", 33).cast("string"), 10, "0"))
+        place = place.withColumn("__row", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, rows = 0, []
+    for r in place.groupBy("__file").agg(F.count("*").alias("n")).orderBy("__file").collect():  # one a file or partition
+        rows.append((r["__file"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(rows, "__file string, __before long")
+    at = place.join(F.broadcast(starts), "__file").withColumn("__at", F.col("__before") + F.col("__row"))
+    return at.select(*df.columns, F.expr(f"__at div {stretch}").alias("__stretch"), F.expr(f"cast(__at % {stretch} as int)").alias("__at"))
+
+
+def packed_in_order(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, stretch: int = STRETCH) -> DataFrame:
+    """packed_documents() whose sequences, read by ascending sequence_id, follow the order of df's rows.
+
+    Each run of `stretch` rows is packed by itself, so sequences never mix runs; those of a run are numbered by the mean
+    place of their tokens. Costs at most the bins' room at the end of each run.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+    own = in_stretches(df, stretch).select(F.struct(F.col(id_col).alias("id"), "__stretch", "__at").alias("doc"), F.col(text_col).alias("text"))
+    rows = pieces(own, vocabulary, id_col="doc", capacity=capacity).select("doc.*", "piece", "start", "length", "ids_crc32")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("__at", "ascending"), ("piece", "ascending")])
+        lengths, at = group["length"].to_numpy(), group["__at"].to_numpy()
+        by = np.argsort(-lengths, kind="stable")
+        where, offset, room = best_fit_decreasing(lengths[by], capacity)
+        mean = np.bincount(where, lengths[by] * at[by]) / np.bincount(where, lengths[by])
+        number = np.empty(len(room), np.int64)
+        number[np.argsort(mean, kind="stable")] = np.arange(len(room))
+        ids = (group["__stretch"].to_numpy()[by] << 32) | number[where]
+        out = group.take(pa.array(by)).select(["id", "piece", "start", "length", "ids_crc32"])
+        return out.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+
+    out = rows.groupBy("__stretch").applyInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.withColumnRenamed("id", id_col)
