@@ -119,8 +119,8 @@ def _within(mean: np.ndarray, most: int) -> list[float]:
     return list(np.cumsum(chance[: most + 1]))
 
 
-def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold) of least estimated cost: entries filed, and candidates to verify."""
+def plan(n: int, both: np.ndarray, distance: int, filing: float = 20) -> list[tuple[list[int], int]]:
+    """Partitions (bits, threshold) of least estimated cost: entries filed (each as dear as `filing` candidates), and candidates to verify."""
     mean = np.diag(both) / max(n, 1)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for parts in range(1, distance + 2):
@@ -129,7 +129,7 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
         for bits in groups:
             near = _within(mean[bits], distance)
             filed = [sum(comb(len(bits), d) for d in range(t + 1)) for t in range(distance + 1)]
-            costs.append([0.0] + [20 * n * f + n * n * c for f, c in zip(filed, near, strict=True)])  # by t + 1
+            costs.append([0.0] + [filing * n * f + n * n * c for f, c in zip(filed, near, strict=True)])  # by t + 1
         # least[s]: the cheapest thresholds of the groups so far with sum(t + 1) = s
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for cost in costs:
@@ -247,7 +247,7 @@ def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[
     if by:
         most = distinct.groupBy(*by).count().agg(F.max("count")).first()[0]
         n, both = most, both * (most / n)
-    parts = plan(n, both, distance)
+    parts = plan(n, both, distance, 2000 if by else 20)  # by classes groups are small, and entries fill the disk
     few, many = _parted(_filed(distinct, parts, by), [*by, "part", "value"], group)
     many = checkpointed(many)
     out = _linked(few, [*by, "part", "value"], distance)
