@@ -1,9 +1,9 @@
 """SimHash near-duplicates, linked by the generalised pigeonhole principle.
 
-Bits that vary together share a partition. If thresholds t of m partitions satisfy sum(t + 1) = distance + 1,
-two fingerprints within the distance are within t of each other in one partition at least. Dynamic programming
-gives the thresholds their least estimated cost; each fingerprint is then filed under its partition's values
-(and, for t > 0, under those at up to t bits from it), and whoever meets in a group is verified.
+Bits that vary together share a partition. If thresholds t of m partitions satisfy sum(t + 1) > distance, two
+fingerprints within the distance are within t of each other in one partition at least. Dynamic programming gives the
+thresholds their least estimated cost; each fingerprint is then filed under its partition's value (and, for t > 0, under
+those at up to t / 2 bits from it, so that both meet half way), and whoever meets in a group is verified.
 
 Exact copies fold into one fingerprint before that. A group that holds too many fingerprints is parted anew by
 further bits, and what is still too large in tiles, so that any two of its members meet in some task. Of a
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,13 @@ GROUP = 4096
 TILE = 1024
 #: Fingerprints of a set of shingles, by differently mixed hashes: a similar pair is near in one of them at least.
 MIXES = 3
+#: What an entry costs, in verified candidates; distances from which large groups go to tiles at once, as finer parts of so
+#: few bits would hardly part them.
+FILING, FINER = 300, 8
+#: Rows compared with so many others at most go step by step; entries that a task looks at together, about.
+STEPS, TOGETHER = 48, 200_000
+#: Sizes of one class differ by this factor at most.
+CLASS = 4.0
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> list[int]:
@@ -108,40 +115,67 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def _within(mean: np.ndarray, most: int) -> list[float]:
-    """Chances that two fingerprints differ in at most 0, 1, ... of these bits, as if the bits were independent."""
-    chance = np.zeros(most + 2)
-    chance[0] = 1
-    for p in mean:
-        q = 2 * p * (1 - p)
-        chance[1:] = chance[1:] * (1 - q) + chance[:-1] * q
-        chance[0] *= 1 - q
-    return list(np.cumsum(chance[: most + 1]))
+def _apart(n: int, both: np.ndarray, bits: list[int], most: int) -> np.ndarray:
+    """Chances that two fingerprints differ in 0, 1, ... most of these bits.
 
-
-def plan(n: int, both: np.ndarray, distance: int, filing: float = 20) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold) of least estimated cost: entries filed (each as dear as `filing` candidates), and candidates to verify."""
-    mean = np.diag(both) / max(n, 1)
+    Mean and variance of the number of differing bits follow exactly from how many fingerprints have each pair of bits;
+    a beta-binomial of both stands for its distribution, so bits that vary together raise the chance of few differences.
+    """
+    joint = both / max(n, 1)
+    mean = np.diag(joint)
+    m, q = len(bits), 2 * mean * (1 - mean)
+    p11 = joint[np.ix_(bits, bits)]
+    p10 = mean[bits][:, None] - p11
+    p01 = mean[bits][None, :] - p11
+    cov = 2 * (p11 * (1 - p11 - p10 - p01) + p10 * p01) - np.outer(q[bits], q[bits])
+    np.fill_diagonal(cov, q[bits] * (1 - q[bits]))
+    rate = float(np.clip(q[bits].mean(), 1e-6, 1 - 1e-6))
+    spread = max(float(cov.sum()), 0.0) / (m * rate * (1 - rate))  # 1 for independent bits, m for equal ones
+    rho = min(max((spread - 1) / max(m - 1, 1), 1e-6), 1 - 1e-6)
+    alpha, beta = rate * (1 / rho - 1), (1 - rate) * (1 / rho - 1)
+    d = np.arange(most + 1)
+    chance = [comb(m, int(k)) * np.exp(lgamma(k + alpha) + lgamma(m - k + beta) - lgamma(m + alpha + beta) + lgamma(alpha + beta) - lgamma(alpha) - lgamma(beta)) if k <= m else 0.0 for k in d]
+    return np.array(chance)
+
+
+def _meetings(m: int, radius: int, d: int) -> int:
+    """Values of m bits within the radius of both of two values that differ in d bits."""
+    return sum(comb(d, i) * comb(m - d, j) for i in range(d + 1) for j in range(m - d + 1) if i + j <= radius and d - i + j <= radius)
+
+
+def plan(n: int, both: np.ndarray, distance: int, pairs: float | None = None, filing: float = FILING) -> list[tuple[list[int], int]]:
+    """Partitions (bits, radius) of least estimated cost: entries filed, and candidates to verify, of which one entry
+    is as dear as `filing`.
+
+    Two values that differ in up to t bits are both within t / 2 (rounded up) of some value, so a radius r serves the
+    threshold 2 r. pairs: how many pairs may be candidates at all; by default all.
+    """
+    pairs = n * n / 2 if pairs is None else pairs
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for parts in range(1, distance + 2):
         groups = grouped_bits(n, both, parts)
-        costs = []
+        costs = []  # of each group, by radius
         for bits in groups:
-            near = _within(mean[bits], distance)
-            filed = [sum(comb(len(bits), d) for d in range(t + 1)) for t in range(distance + 1)]
-            costs.append([0.0] + [filing * n * f + n * n * c for f, c in zip(filed, near, strict=True)])  # by t + 1
-        # least[s]: the cheapest thresholds of the groups so far with sum(t + 1) = s
+            m, cost = len(bits), []
+            apart = _apart(n, both, bits, min(distance + 1, m))
+            for r in range(min(-(-distance // 2), m, 2) + 1):
+                filed = sum(comb(m, d) for d in range(r + 1))
+                met = sum(apart[d] * _meetings(m, r, d) for d in range(min(2 * r, len(apart) - 1) + 1))
+                cost.append(filing * n * filed + pairs * met)
+            costs.append(cost)
+        # least[s]: the cheapest radii of the groups so far whose thresholds 2 r give sum(2 r + 1) = s, or more than the distance
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for cost in costs:
             new: dict[int, tuple[float, list[int]]] = {}
             for s, (c, chosen) in least.items():
-                for t1 in range(distance + 2 - s):
-                    if s + t1 not in new or c + cost[t1] < new[s + t1][0]:
-                        new[s + t1] = (c + cost[t1], [*chosen, t1 - 1])
+                for r in range(-1, len(cost)):
+                    to, price = min(s + 2 * r + 1, distance + 1) if r >= 0 else s, c + (cost[r] if r >= 0 else 0.0)
+                    if to not in new or price < new[to][0]:
+                        new[to] = (price, [*chosen, r])
             least = new
-        cost, chosen = least[distance + 1]
+        cost, chosen = least.get(distance + 1, (float("inf"), []))
         if cost < best[0]:
-            best = (cost, [(b, t) for b, t in zip(groups, chosen, strict=True) if t >= 0])
+            best = (cost, [(b, r) for b, r in zip(groups, chosen, strict=True) if r >= 0])
     return best[1]
 
 
@@ -151,23 +185,27 @@ def _mask(bits: list[int]) -> int:
 
 
 def _filed(distinct: DataFrame, parts: list[tuple[list[int], int]], by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, part, value, fp): each fingerprint under the values that it may share with a near one."""
+    """(*by, part, value, ..., fp): each fingerprint under the values within the partition's radius of its own."""
     keys = []
-    for k, (bits, t) in enumerate(parts):
+    for k, (bits, r) in enumerate(parts):
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        flips = [list(f) for d in range(t + 1) for f in combinations(bits, d)]
+        flips = [list(f) for d in range(r + 1) for f in combinations(bits, d)]
         keys += [F.struct(F.lit(k).alias("part"), value.bitwiseXOR(F.lit(_mask(f))).alias("value")) for f in flips]
-    return distinct.select(*by, "fp", F.explode(F.array(*keys)).alias("key")).select(*by, "key.part", "key.value", "fp")
+    rest = [c for c in distinct.columns if c not in (*by, "fp")]
+    return distinct.select(*by, *rest, "fp", F.explode(F.array(*keys)).alias("key")).select(*by, "key.part", "key.value", *rest, "fp")
 
 
-def forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the links within the distance; visits each member once."""
+def forest(x: np.ndarray, distance: int, size: np.ndarray | None = None, ratio: float = 0.0) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the links within the distance (and of sizes of this ratio at least);
+    visits each member once."""
     edges, left = [], np.arange(len(x))
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             k = front.pop()
             near = np.bitwise_count(x[left] ^ x[k]) <= distance
+            if size is not None:
+                near &= np.minimum(size[left], size[k]) >= ratio * np.maximum(size[left], size[k])
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -176,51 +214,86 @@ def forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _linked(filed: DataFrame, key: list[str], distance: int) -> DataFrame:
-    """Forest edges (a, b) of each group; the rows come sorted by key, so a group is a run of them."""
-    names = [*key, "fp"]
+def linked_rows(heads: np.ndarray, x: np.ndarray, distance: int, size: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
+    """Whether each row has a link within its group. heads: the number of a row's group, ascending; sizes ascend in
+    a group. Rows with few others to compare with go step by step, all groups at once; the rest by blocks."""
+    n = len(x)
+    if size is None:
+        ends = np.searchsorted(heads, heads, side="right")
+    else:
+        place = heads.astype(np.int64) << 40
+        ends = np.searchsorted(place | size, place | np.minimum(size / ratio, 2.0**39).astype(np.int64), side="right")
+    span = ends - np.arange(n) - 1
+    linked = np.zeros(n, bool)
+    at = np.flatnonzero((span > 0) & (span <= STEPS))
+    step = 1
+    while len(at):
+        hit = at[np.bitwise_count(x[at] ^ x[at + step]) <= distance]
+        linked[hit] = linked[hit + step] = True
+        step += 1
+        at = at[span[at] >= step]
+    wide = np.flatnonzero(span > STEPS)
+    for k in range(0, len(wide), 256):
+        rows = wide[k : k + 256]
+        # one block a group: the rows of a chunk may be of several
+        cuts = [0, *(np.flatnonzero(heads[rows[1:]] != heads[rows[:-1]]) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = rows[lo:hi]
+            first, last = int(own[0]) + 1, int(ends[own].max())
+            hit = np.bitwise_count(x[own, None] ^ x[None, first:last]) <= distance
+            other = np.arange(first, last)
+            near = np.flatnonzero(hit.any(axis=1))
+            for r in near.tolist():
+                mates = other[hit[r]]
+                mates = mates[(mates > own[r]) & (mates < ends[own[r]])]
+                if len(mates):
+                    linked[own[r]] = True
+                    linked[mates] = True
+    return linked
+
+
+def _linked(filed: DataFrame, key: list[str], distance: int, ratio: float = 0.0) -> DataFrame:
+    """Forest edges (a, b) of each group, with a column size only between sizes of this ratio at least; the rows come
+    sorted by key and size, so a group is a run of them."""
+    sized = "size" in filed.columns
+    names = [*key, *["size"] * sized, "fp"]
     ran = filed.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*names).select(*names)
 
-    def of(heads: np.ndarray, x: np.ndarray) -> tuple[list[int], list[int]]:
-        """heads: the number of each row's group, ascending."""
-        linked = np.zeros(int(heads[-1]) + 1 if len(heads) else 0, bool)
-        at = np.flatnonzero(heads[1:] == heads[:-1])
-        step = 1
-        while len(at):  # step by step, every group still open at once
-            hit = np.bitwise_count(x[at] ^ x[at + step]) <= distance
-            linked[heads[at[hit]]] = True
-            step += 1
-            at = at[at + step < len(x)]
-            at = at[(heads[at + step] == heads[at]) & ~linked[heads[at]]]
+    def of(columns: list[np.ndarray], heads: np.ndarray) -> tuple[list[int], list[int]]:
+        x, size = columns[-1].view(np.uint64), columns[-2] if sized else None
+        at = np.flatnonzero(linked_rows(heads, x, distance, size, ratio))
         a, b = [], []
-        starts = np.searchsorted(heads, np.flatnonzero(linked))
-        ends = np.searchsorted(heads, np.flatnonzero(linked), side="right")
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            own = x[s:e]
-            for i, j in forest(own, distance):
+        cuts = [0, *(np.flatnonzero(heads[at[1:]] != heads[at[:-1]]) + 1).tolist(), len(at)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            own = x[at[s:e]]
+            for i, j in forest(own, distance, size[at[s:e]] if sized else None, ratio):
                 a.append(int(own[i]))
                 b.append(int(own[j]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in _ended(batches):
             if batch is not None:
-                new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
-                kept = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
-            if kept is None or not len(kept[0]):
+                held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))])
+                rows += batch.num_rows
+                if rows < TOGETHER:
+                    continue
+            if not rows:
                 continue
-            change = np.zeros(len(kept[0]), bool)
-            for c in kept[:-1]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            change = np.zeros(rows, bool)
+            for c in columns[: len(key)]:
                 change[1:] |= c[1:] != c[:-1]
             heads = np.cumsum(change)
-            end = len(heads) if batch is None else int(np.searchsorted(heads, heads[-1]))
-            a, b = of(heads[:end], kept[-1][:end].view(np.uint64))
-            kept = [c[end:] for c in kept]
+            end = rows if batch is None else int(np.searchsorted(heads, heads[-1]))
+            a, b = of([c[:end] for c in columns], heads[:end])
+            held, rows = [[c[end:] for c in columns]], rows - end
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
-    return ran.mapInArrow(run, "a long, b long")
+    return ran.mapInArrow(run, "a long, b long").distinct()
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -229,47 +302,48 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def _parted(distinct_groups: DataFrame, key: list[str], group: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of groups of at most so many members (and two at least), and those of larger ones with their size."""
-    sizes = distinct_groups.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1")
+    """The rows of groups of at most so many members (and two at least), and those of larger ones with their number (members)."""
+    sizes = distinct_groups.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
     met = distinct_groups.join(sizes, key)
-    return met.where(F.col("size") <= group).drop("size"), met.where(F.col("size") > group)
+    return met.where(F.col("members") <= group).drop("members"), met.where(F.col("members") > group)
 
 
-def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[str, ...] = ()) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[str, ...] = (), ratio: float = 0.0, pairs: float | None = None) -> DataFrame:
     """(a, b): links between fingerprints within the distance that connect whatever all such links connect.
 
-    distinct: fp, without repeats; with `by`, whole numbers, links are sought among rows of equal `by` only. The links
-    found are true ones, at most one fewer than a group's members.
+    distinct: fp, without repeats; with `by`, links are sought among rows of equal `by` only, and with a column size
+    only between sizes of this ratio at least. The links found are true ones, at most one fewer than a group's members.
+    pairs: how many pairs may be candidates, by the caller's own count.
     """
     n, both = _bit_counts(distinct)
     if n < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    if by:
-        most = distinct.groupBy(*by).count().agg(F.max("count")).first()[0]
-        n, both = most, both * (most / n)
-    parts = plan(n, both, distance, 2000 if by else 20)  # by classes groups are small, and entries fill the disk
-    few, many = _parted(_filed(distinct, parts, by), [*by, "part", "value"], group)
+    parts = plan(n, both, distance, pairs)
+    key = [*by, "part", "value"]
+    few, many = _parted(_filed(distinct, parts, by), key, group)
     many = checkpointed(many)
-    out = _linked(few, [*by, "part", "value"], distance)
+    out = _linked(few, key, distance, ratio)
     if many.isEmpty():
         return out
-    # Any two within the distance agree on one of distance + 1 further partitions of the bits that they need not share.
-    finer = None
-    for k, (bits, t) in enumerate(parts):
-        rest = [b for b in range(BITS) if t or b not in bits]
-        cuts = [rest[len(rest) * j // (distance + 1) : len(rest) * (j + 1) // (distance + 1)] for j in range(distance + 1)]
-        own = [F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("rest")) for j, c in enumerate(cuts)]
-        rows = many.where(F.col("part") == k).select(*by, "part", "value", F.explode(F.array(*own)).alias("key"), "fp").select(*by, "part", "value", "key.*", "fp")
-        finer = rows if finer is None else finer.unionByName(rows)
-    key = [*by, "part", "value", "sub", "rest"]
-    few, many = _parted(finer, key, group)
-    out = out.unionByName(_linked(few, key, distance))
+    sized = [c for c in distinct.columns if c == "size"]
+    if distance < FINER:
+        # Any two within the distance agree on one of distance + 1 further partitions of the bits that they need not share.
+        finer = None
+        for k, (bits, r) in enumerate(parts):
+            rest = [b for b in range(BITS) if r or b not in bits]
+            cuts = [rest[len(rest) * j // (distance + 1) : len(rest) * (j + 1) // (distance + 1)] for j in range(distance + 1)]
+            own = [F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("rest")) for j, c in enumerate(cuts)]
+            rows = many.where(F.col("part") == k).select(*key, *sized, F.explode(F.array(*own)).alias("key"), "fp").select(*key, "key.*", *sized, "fp")
+            finer = rows if finer is None else finer.unionByName(rows)
+        key += ["sub", "rest"]
+        few, many = _parted(finer, key, group)
+        out = out.unionByName(_linked(few, key, distance, ratio))
     # Tiles: chunks of half a group's bound, every two of them together.
-    chunks = F.ceil(F.col("size") / F.lit(group // 2)).cast("int")
+    chunks = F.ceil(F.col("members") / F.lit(group // 2)).cast("int")
     tiled = many.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.withColumn("low", F.least("c", "o")).withColumn("high", F.greatest("c", "o"))
-    return out.unionByName(_linked(tiled, [*key, "low", "high"], distance))
+    tiled = tiled.withColumn("low", F.least("c", "o")).withColumn("high", F.greatest("c", "o")).drop("members")
+    return out.unionByName(_linked(tiled, [*key, "low", "high"], distance, ratio))
 
 
 def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, distance: int = 3, group: int = GROUP) -> DataFrame:
@@ -351,8 +425,8 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Links are pairs whose sets of shingles have this Jaccard similarity, exactly taken. Equal sets fold into one.
     Candidates are within the distance in one of MIXES fingerprints of the sets; a similar pair that is further
     apart in all of them, and not connected otherwise, is missed (at 12 bits and a similarity of just 0.8 about one
-    in 200 by the angle between the sets). As similar sets are of similar size, fingerprints meet only among those
-    of their own class of sizes or the next. Whatever candidates connect is then compared by its sets, read again
+    in 200 by the angle between the sets). As similar sets are of similar size, only fingerprints of like sizes are
+    compared. Whatever candidates connect is then compared by its sets, read again
     from the texts; more than `tile` sets in tiles. Texts without words are alike.
     """
     small_batches(df.sparkSession)
@@ -374,12 +448,17 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     own = checkpointed(rows.mapInArrow(made(False), f"id {id_type}, key long, fps array<long>, size long"))
     distinct = checkpointed(own.groupBy("key").agg(F.min("id").alias("least_id"), F.first("fps").alias("fps"), F.first("size").alias("size")))
-    # Sizes within the similarity are at most one class apart; the classes are a little wider, against rounding.
-    width = float(np.log(1 / similarity) * 1.01)
-    class_ = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(width)).cast("long")
-    each = distinct.select("key", class_.alias("sizes"), F.posexplode("fps").alias("mix", "fp"))
-    classed = each.select("mix", F.explode(F.array("sizes", F.col("sizes") + 1)).alias("sizes"), "fp").distinct()
-    near = links(checkpointed(classed), distance, by=("mix", "sizes")).distinct()
+    # Filed in the class of its own size, and in the next if a similar set may be there; in a class sorted by size.
+    class_ = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(np.log(CLASS)))).cast("int")
+    each = distinct.select("key", class_.alias("class"), F.greatest("size", F.lit(1)).cast("long").alias("size"), F.posexplode("fps").alias("mix", "fp"))
+    beyond = F.col("size") * (1.01 / similarity) >= F.pow(F.lit(CLASS), F.col("class") + 1)
+    classes = F.when(beyond, F.array("class", F.col("class") + 1)).otherwise(F.array("class"))
+    classed = checkpointed(each.select("mix", F.explode(classes).alias("class"), "size", "fp").groupBy("mix", "class", "fp", "size").agg(F.lit(1).alias("one")).drop("one"))
+    # Pairs of sizes within the ratio, from the numbers of rows by steps of that ratio.
+    step = F.floor(F.log("size") / F.lit(float(np.log(1 / similarity)))).cast("int")
+    counts = {(r["mix"], r["step"]): r["n"] for r in each.groupBy("mix", step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    pairs = sum(n * n / 2 + n * counts.get((mix, k + 1), 0) / 2 for (mix, k), n in counts.items())
+    near = links(classed, distance, by=("mix", "class"), ratio=similarity * (1 - 1e-9), pairs=pairs).distinct()
     of_fp = each.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     edges = near.join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
     edges = edges.unionByName(each.join(of_fp.where("n > 1"), "fp").select(F.col("key").alias("u"), F.col("first").alias("v")))
