@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,18 +32,33 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that the cluster names in spark.checkpoint.dir and cut from its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that which the cluster names in spark.checkpoint.dir, or one that was set by hand.
 
-    Only where that is unset (tests on one machine) a temporary folder serves.
+    Only on one machine (tests) may a temporary folder serve; a cluster must name one that all its machines share.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as a Parquet table, of which only the columns needed are read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Texts of a string column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]
