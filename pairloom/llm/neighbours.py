@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by learned partitions.
 
 A neighbour graph of a bounded sample is cut into balanced parts, a small classifier learns from a vector alone
-which part it belongs to, and every vector is filed under its most likely part. A query goes to its several most
-likely parts and is compared with all vectors there, exactly. How many parts is measured on the sample, whose true
-neighbours are known.
+which part it belongs to, and every vector is filed under its most likely part. A part that holds more than a bound
+is parted again in the same way, by a router learned from a sample of its own. A query goes to its several most likely
+parts and is compared with all vectors there, exactly. How many parts is measured on sampled vectors that the router
+has not learned from, whose true neighbours among each other are known.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +21,13 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed, small_batches
 
-#: Vectors that the parts are learned from; of a part in the sample, about; parts at most.
-SAMPLE, HELD, PARTS = 6000, 250, 64
+#: Vectors that a router is learned from; of a part in the sample, at least; parts of one router at most; vectors of a part
+#: beyond which it is parted again.
+SAMPLE, HELD, PARTS, SPLIT = 6000, 60, 64, 20_000
 #: Neighbours of a vector in the graph; hidden units; passes over the sample.
 DEGREE, HIDDEN, PASSES = 10, 96, 60
-#: Recall to reach on the sample's own queries; vectors of an index block.
-AIM, BLOCK = 0.985, 4096
+#: Recall to reach on sampled queries; vectors of an index block.
+AIM, BLOCK = 0.93, 4096
 
 
 def exact_neighbours(queries: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
@@ -127,32 +130,94 @@ def learned(x: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> Rou
     return Router(mean, scale, *weights)
 
 
-def fitted(sample: np.ndarray, k: int, seed: int = 5) -> tuple[Router | None, int, int]:
-    """A router, its number of parts, and how many of them a query is to visit. No router (one part) for a small sample."""
+@dataclass
+class Parting:
+    """A router, its number of parts, and how many of them a query is to visit."""
+
+    router: Router | None
+    parts: int
+    visited: int
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """The parts by their chance, for each vector; only one part without a router."""
+        return self.router.parts(x, self.parts) if self.router and len(x) else np.zeros((len(x), 1), np.int64)
+
+
+def fitted(sample: np.ndarray, k: int, aim: float = AIM, seed: int = 5) -> Parting:
+    """Parts learned from a sample; one part if it is too small for two."""
     rng = np.random.default_rng(seed)
     n = len(sample)
     parts = min(PARTS, n // HELD)
     if parts < 2:
-        return None, 1, 1
+        return Parting(None, 1, 1)
     degree = min(DEGREE, n - 1)
-    near = np.vstack([exact_neighbours(sample[at : at + 1024], sample, max(degree, k) + 1) for at in range(0, n, 1024)])
-    graph = np.array([[j for j in row.tolist() if j != i][: max(degree, k)] for i, row in enumerate(near)])
-    part = balanced_parts(graph[:, :degree], parts, rng)
+    near = np.vstack([exact_neighbours(sample[at : at + 1024], sample, degree + 1) for at in range(0, n, 1024)])
+    graph = np.array([[j for j in row.tolist() if j != i][:degree] for i, row in enumerate(near)])
+    part = balanced_parts(graph, parts, rng)
     targets = np.zeros((n, parts))
-    np.add.at(targets, (np.arange(n)[:, None], part[graph[:, :degree]]), 1 / (degree + 1))
+    np.add.at(targets, (np.arange(n)[:, None], part[graph]), 1 / (degree + 1))
     targets[np.arange(n), part] += 1 / (degree + 1)
-    # how well unseen vectors are routed: learn without a fifth and ask with that
-    asked = rng.permutation(n)[: n // 5]
-    seen = np.setdiff1d(np.arange(n), asked)
+    # how well unseen vectors find each other: learn without a third, half of which ask
+    order = rng.permutation(n)
+    unseen, seen = order[: n // 3], order[n // 3 :]
     trial = learned(sample[seen], targets[seen], rng)
-    filed = trial.parts(sample, 1)[:, 0]
-    visits = trial.parts(sample[asked], parts)
+    asked = np.arange(max(1, len(unseen) // 2))
+    filed = trial.parts(sample[unseen], 1)[:, 0]
+    found = exact_neighbours(sample[unseen[asked]], sample[unseen], min(k + 1, len(unseen)))
+    visits = trial.parts(sample[unseen[asked]], parts)
     place = np.empty_like(visits)
     np.put_along_axis(place, visits, np.arange(parts)[None, :].repeat(len(asked), 0), 1)
-    needed = np.take_along_axis(place, filed[graph[asked, :k]], 1)
-    recall = [(needed < v).mean() for v in range(1, parts + 1)]
-    visited = next((v for v, r in enumerate(recall, 1) if r >= AIM), parts)
-    return learned(sample, targets, rng), parts, visited
+    needed = np.take_along_axis(place, filed[found], 1)[found != asked[:, None]]
+    recall = [(needed < v).mean() if len(needed) else 1.0 for v in range(1, parts + 1)]
+    visited = next((v for v, r in enumerate(recall, 1) if r >= aim), parts)
+    return Parting(learned(sample, targets, rng), parts, visited)
+
+
+@dataclass
+class Index:
+    """The first parting, and those of its parts that are parted again; leaves are numbered through."""
+
+    first: Parting
+    again: dict[int, Parting]
+
+    def __post_init__(self) -> None:
+        sizes = [self.again[p].parts if p in self.again else 1 for p in range(self.first.parts)]
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    @property
+    def leaves(self) -> int:
+        return int(self.start[-1])
+
+    def filed(self, x: np.ndarray) -> np.ndarray:
+        """The most likely leaf of each vector."""
+        part = self.first.order(x)[:, 0]
+        out = self.start[part]
+        for p, parting in self.again.items():
+            own = np.flatnonzero(part == p)
+            if len(own):
+                out[own] += parting.order(x[own])[:, 0]
+        return out
+
+    def routes(self, x: np.ndarray, counts: np.ndarray, least: int) -> list[list[int]]:
+        """The leaves that each vector visits: the likely ones of its likely parts, and more until they hold `least`."""
+        first = self.first.order(x)
+        inner = {p: parting.order(x) for p, parting in self.again.items()}
+        out = []
+        for r in range(len(x)):
+            likely, later = [], []
+            for at, p in enumerate(first[r].tolist()):
+                leaves = (self.start[p] + inner[p][r]).tolist() if p in inner else [int(self.start[p])]
+                own = self.again[p].visited if p in inner else 1
+                likely += leaves[:own] if at < self.first.visited else []
+                later += leaves[own:] if at < self.first.visited else leaves
+            held = int(counts[likely].sum())
+            for leaf in later:
+                if held >= least:
+                    break
+                likely.append(leaf)
+                held += int(counts[leaf])
+            out.append(likely)
+        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -169,7 +234,45 @@ def taking_part(df: DataFrame, vec_col: str) -> DataFrame:
     return ok.where(F.size(v) == (most[0]["n"] if most else 0))
 
 
-def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def indexed(index: DataFrame, k: int, *, sample: int = SAMPLE, split: int = SPLIT) -> tuple[DataFrame, Index]:
+    """(id, v, leaf) of all vectors of index (id, v), and what filed them.
+
+    Each router is learned from at most `sample` vectors, those of the least hashes: the first on the driver, the others,
+    for parts of more than `split` vectors, each in a task. A router is a few hundred kilobytes, and there are at most
+    PARTS of the second kind.
+    """
+    drawn = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    first = fitted(np.array([list(v) for v in drawn], np.float64), k) if len(drawn) else Parting(None, 1, 1)
+    kind = index.schema["v"].dataType.simpleString()
+
+    def file(found: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf = found.filed(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf.astype(np.int32))], names=["id", "v", "leaf"])
+
+        return checkpointed(index.mapInArrow(run, f"id long, v {kind}, leaf int"))
+
+    found = Index(first, {})
+    filed = file(found)
+    large = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect() if r["n"] > split}
+    if not large or first.router is None:
+        return filed, found
+    # of each large part about `sample` vectors, by their hash
+    part = F.create_map(*[F.lit(x) for p, n in large.items() for x in (p, int(min(1.0, 0.9 * sample / n) * (1 << 30)))])
+    some = filed.where(F.col("leaf").isin(list(large))).where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < part[F.col("leaf")])
+
+    def learn(group: pa.Table) -> pa.Table:
+        x = _matrix(group["v"].combine_chunks())
+        parting = fitted(x[:sample], k, aim=AIM**0.5)
+        return pa.table({"leaf": group["leaf"][:1], "model": pa.array([pickle.dumps(parting)], pa.binary())})
+
+    again = {r["leaf"]: pickle.loads(r["model"]) for r in some.groupBy("leaf").applyInArrow(learn, "leaf int, model binary").collect()}
+    found = Index(first, again)
+    return file(found), found
+
+
+def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100, sample: int = SAMPLE, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found for each row whose id is a
     multiple of `every`, ties to the smaller id; all others, if fewer than k.
 
@@ -177,54 +280,47 @@ def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
     part, nor do rows without an id. Rows of one id are one candidate each but never of that id's own query, and one
     query (by the least vector, compared component by component). Other columns are ignored.
 
-    Of equal vectors only the k + 1 of the smallest ids can be among any k nearest, so no more are compared; Spark
-    keeps these map-side, before it shuffles. A part of the index is searched in blocks; queries meet each block of
-    the parts they visit, and blocks are of bounded size.
+    Of equal vectors only rows of the k + 1 smallest ids, and k rows of each, can be among any k nearest, so no more are
+    compared; repeated rows are counted map-side, before Spark shuffles. A part of the index is searched in blocks;
+    queries meet each block of the parts they visit, and blocks are of bounded size.
     """
     spark = df.sparkSession
     small_batches(spark)
     own = taking_part(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col(id_col).isNotNull()), "v")
     # zeros of either sign are one vector
     own = own.withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast("float") if "float" in own.schema["v"].dataType.simpleString() else x + F.lit(0)))
+    rows = own.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
     by_vector = Window.partitionBy("v").orderBy("id")
-    index = own.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1).drop("n")
+    index = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    index = index.select("id", "v", F.explode(F.sequence(F.lit(1), "copies")).alias("n")).select("id", "v")
     by_id = Window.partitionBy("id").orderBy("v")
     queries = own.where(F.col("id") % every == 0).withColumn("n", F.row_number().over(by_id)).where("n = 1").drop("n")
     index, queries = checkpointed(index), checkpointed(queries)
-    drawn = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-    router, parts, visited = fitted(np.array([list(v) for v in drawn], np.float64), k) if len(drawn) else (None, 1, 1)
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = router.parts(_matrix(batch.column(1)), 1)[:, 0] if router and batch.num_rows else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
-
-    kind = own.schema["v"].dataType.simpleString()
-    filed = checkpointed(index.mapInArrow(file, f"id long, v {kind}, part int"))
-    counts = np.zeros(parts, np.int64)
-    for row in filed.groupBy("part").agg(F.count("*").alias("n")).collect():
-        counts[row["part"]] = row["n"]
+    filed, found = indexed(index, k, sample=sample, split=split)
+    counts, others = np.zeros(found.leaves, np.int64), np.zeros(found.leaves, np.int64)
+    for row in filed.groupBy("leaf").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect():
+        counts[row["leaf"]], others[row["leaf"]] = row["n"], row["ids"]
     blocks = np.maximum(1, -(-counts // block))
+    kind = own.schema["v"].dataType.simpleString()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = router.parts(_matrix(batch.column(1)), parts) if router else np.zeros((batch.num_rows, 1), np.int64)
-            enough = (np.cumsum(counts[order], axis=1) < k + 1).sum(axis=1) + 1  # parts that hold k others for certain
             rows, to, where = [], [], []
-            for r in range(batch.num_rows):
-                for p in order[r, : max(visited, int(enough[r]))].tolist():
-                    n = int(blocks[p])
+            for r, leaves in enumerate(found.routes(_matrix(batch.column(1)), others, k + 1)):
+                for leaf in leaves:
+                    n = int(blocks[leaf])
                     rows += [r] * n
-                    to += [p] * n
+                    to += [leaf] * n
                     where += range(n)
             taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(to, pa.int32()), pa.array(where, pa.int32())], names=["id", "v", "part", "block"])
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(to, pa.int32()), pa.array(where, pa.int32())], names=["id", "v", "leaf", "block"])
 
-    per_part = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("part") + 1)
-    placed = filed.withColumn("block", F.pmod(F.xxhash64("id", "v"), per_part).cast("int"))
-    asked = queries.mapInArrow(route, f"id long, v {kind}, part int, block int")
+    several = {int(p): int(n) for p, n in enumerate(blocks) if n > 1}
+    per_leaf = F.coalesce(F.create_map(*[F.lit(x) for pair in several.items() for x in pair])[F.col("leaf")], F.lit(1)) if several else F.lit(1)
+    placed = filed.withColumn("block", F.pmod(F.xxhash64("id", "v"), per_leaf).cast("int"))
+    asked = queries.mapInArrow(route, f"id long, v {kind}, leaf int, block int")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -248,6 +344,6 @@ def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
                     out[2] += exact[best].tolist()
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("part", "block").cogroup(placed.select("id", "v", "part", "block").groupBy("part", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    near = asked.groupBy("leaf", "block").cogroup(placed.select("id", "v", "leaf", "block").groupBy("leaf", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
