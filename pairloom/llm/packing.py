@@ -1,17 +1,19 @@
 """Best-fit packing of tokenised documents, certified by dual-feasible-function bounds.
 
-Each partition of pieces packs its own by best-fit decreasing and bounds from below how many bins any packing of
-them needs. A partition that reaches its bound keeps its bins, but for those with much room; one with a gap puts
-all its pieces back. What was put back is dealt anew, by another hash and over fewer partitions, and packed again.
+Each partition of pieces packs its own by best-fit decreasing and keeps its full bins. Bins with room stay open, and what
+lies in them over all partitions is bounded from below: how many bins does any packing of it need? If that is as many as
+are open, they are certified and stay. Else there is a gap: the partitions exchange what lies in open bins, dealt anew by
+another hash and over fewer partitions, and pack it again, for as long as that saves bins.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from .common import checkpointed, small_batches, texts
 
 #: Words and parts of words that a worker remembers.
 REMEMBERED = 700_000
-#: Pieces of a partition; rounds in which partitions with a gap put everything back; room that reopens a bin.
-SHARE, ROUNDS, ROOM = 60_000, 3, 0.03
+#: Pieces of a partition; room that keeps a bin open, as a part of the capacity; part of the open bins that a turn must save
+#: for another.
+SHARE, ROOM, SAVED = 60_000, 0.03, 0.001
 #: Consecutive rows that packed_in_order() packs together.
 STRETCH = 2048
 
@@ -44,19 +47,39 @@ class WordTokenizer:
     Its normaliser and splitter look at no more than what stands between two blanks, so a text's identifiers
     are those of its blank-separated words in a row. A word of characters below U+0250 is split here as the
     tokenizer splits it and its parts go to the tokenizer's model; any other word goes to the tokenizer whole.
+    That holds for SPLITTER and NORMALISERS; a file with others has its texts encoded as a whole.
     """
 
+    #: The file's own splitter and normalisers.
+    SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALISERS = ("NFC", "Replace", "Lowercase")
+
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
+        self.known_kind = self._known_kind(path)
         self.model = self.whole.model
         self.symbols = _byte_symbols()
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.parts = regex.compile(self.SPLITTER)
         self.plain = re.compile("[!-~¡-ɏ]*")
         self.words: dict[bytes, bytes] = _Known(self.of_word)
         self.known: dict[str, bytes] = _Known(self.of_part)
 
+    def _known_kind(self, path: str) -> bool:
+        with open(path, "rb") as file:
+            own = json.load(file)
+        normal = (own["normalizer"] or {}).get("normalizers", [])
+        steps = (own["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            tuple(n["type"] for n in normal) == self.NORMALISERS and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+            and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": self.SPLITTER} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and own["post_processor"] is None and own["model"]["type"] == "BPE"
+            and all(t["content"].startswith("<|") and " " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in own["added_tokens"])
+        )
+
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit identifiers."""
+        if not self.known_kind:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def of_word(self, word: bytes) -> bytes:
@@ -153,7 +176,11 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     The identity; for each e up to half the capacity, "above capacity - e counts as a bin, below e as nothing";
     for each k, "x counts as floor((k + 1) x) / k unless (k + 1) x is whole, then as x" (x in bins).
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound(count: np.ndarray, capacity: int) -> int:
+    """least_bins() of so many pieces of each length."""
     size = np.arange(capacity + 1)
     items, mass = np.cumsum(count), np.cumsum(count * size)
     best = -(-int(mass[-1]) // capacity)
@@ -168,16 +195,17 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def packed(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), capacity: int = 4096, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def packed(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), capacity: int = 4096, share: int = SHARE) -> DataFrame:
     """rows with sequence_id and offset: each bin's rows lie in it without gaps, at most capacity in all.
 
-    Lengths are 1 to capacity. Repeated rows are packed each by itself. order: columns that settle the order of
+    rows: settled, so that reading them again gives the same partitions (a table's, or a checkpoint's). Lengths are 1 to
+    capacity. Repeated rows are packed each by itself, and dealt like others. order: columns that settle the order of
     rows of one length.
     """
     names = rows.columns
     spread = [F.col(c) for c in order]
 
-    def packer(turn: int, parts: int, put_back: bool):
+    def packer(turn: int, parts: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if b.num_rows]
             if not held:
@@ -186,10 +214,7 @@ def packed(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...
             lengths = table[length_col].to_numpy()
             by = np.argsort(-lengths, kind="stable")
             where, offset, room = best_fit_decreasing(lengths[by], capacity)
-            gap = len(room) - least_bins(lengths, capacity)
-            again = np.full(len(room), gap > 0) if put_back else np.zeros(len(room), bool)
-            if parts > 1:
-                again |= room > ROOM * capacity
+            again = (room > ROOM * capacity) if parts > 1 else np.zeros(len(room), bool)
             part = table["__part"][0].as_py()
             ids = (turn << 56) | (part << 28) | where
             out = table.take(pa.array(by)).drop_columns(["__part"])
@@ -200,20 +225,30 @@ def packed(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...
         return run
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    now, done = rows, None
-    for turn in range(64):
-        n = now.count()
+    pool, old, bins, done, turn = rows, None, 0, [], 0
+    n = rows.count()
+    while True:
         parts = max(1, -(-n // share))
-        dealt = now.withColumn("__part", F.pmod(F.xxhash64(F.lit(turn), *spread), F.lit(parts)).cast("int"))
+        salted = pool.select(*names, F.monotonically_increasing_id().alias("__salt"))  # else repeated rows go to one partition
+        dealt = salted.select(*names, F.pmod(F.xxhash64(F.lit(turn), "__salt", *spread), F.lit(parts)).cast("int").alias("__part"))
         dealt = dealt.repartitionById(parts, F.col("__part")).sortWithinPartitions(*spread)
-        put_back = parts > 1 and turn < rounds
-        out = checkpointed(dealt.mapInArrow(packer(turn, parts, put_back), f"{fields}, sequence_id long, offset long, again boolean"))
-        kept = (out.where("not again") if parts > 1 else out).select(*names, "sequence_id", "offset")
-        done = kept if done is None else done.unionByName(kept)
-        if parts == 1:
-            return done
-        now = out.where("again").select(*names)
-    return done.unionByName(out.where("again").select(*names, "sequence_id", "offset"))
+        out = checkpointed(dealt.mapInArrow(packer(turn, parts), f"{fields}, sequence_id long, offset long, again boolean"))
+        # a bin is its row at offset 0
+        all_bins, open_bins, n = out.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("again")), F.count_if("again")).first()
+        if old is not None and all_bins > bins * (1 - SAVED):
+            done.append(old if all_bins >= bins else out)
+            break
+        counts = np.zeros(capacity + 1, np.int64)
+        for r in out.where("again").groupBy(length_col).agg(F.count("*").alias("k")).collect() if open_bins else []:  # one a length
+            counts[r[0]] = r["k"]
+        if open_bins <= bound(counts, capacity):
+            done.append(out)  # no packing of what lies in open bins needs fewer
+            break
+        done.append(out.where("not again"))
+        old = out.where("again")
+        pool, bins, turn = old.select(*names), open_bins, turn + 1
+    found = [d.select(*names, "sequence_id", "offset") for d in done]
+    return reduce(DataFrame.unionByName, found)
 
 
 def packed_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, share: int = SHARE) -> DataFrame:

@@ -50,6 +50,42 @@ def test_rounds(spark):
     assert len(bins) <= 1.02 * P.least_bins(np.array([r.length for r in rows]), 4096) + 1
 
 
+def turns(rows):
+    return 1 + max(r.sequence_id >> 56 for r in rows)
+
+
+def test_certified_partitions_keep_their_bins(spark):
+    df = spark.range(600).selectExpr("id doc_id", "0 piece", "0L ids_crc32", "2500L length")
+    rows = P.packed(df, share=200).collect()
+    assert len({r.sequence_id for r in rows}) == 600 and turns(rows) == 1
+    # bins that cannot be filled: no turn without gain but one
+    df = spark.range(3000).selectExpr("id doc_id", "0 piece", "0L ids_crc32", "1300 + pmod(xxhash64(id), 1200) length")
+    assert turns(P.packed(df, share=200).collect()) <= 4
+
+
+def test_repeated_rows_are_dealt(spark):
+    df = spark.range(4000).selectExpr("7L doc_id", "0 piece", "5L ids_crc32", "1000L length").checkpoint()
+    rows = P.packed(df, share=500).collect()
+    assert len(rows) == 4000 and len({r.sequence_id for r in rows}) <= 1000 + 8
+    parts = {}
+    for r in rows:
+        parts.setdefault((r.sequence_id >> 28) & 0xFFFFFFF, []).append(r)
+    assert len(parts) == 8 and max(map(len, parts.values())) < 700
+
+
+def test_other_tokenizer(spark, tmp_path):
+    import json
+
+    other = json.load(open(PATH))
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]  # keeps case
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    path = str(tmp_path / "other.json")
+    json.dump(other, open(path, "w"))
+    mine, lib = P.WordTokenizer(path), Tokenizer.from_file(path)
+    for t in TEXTS:
+        assert mine.ids(t or "") == np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_corners(spark):
     docs = [(None if k == 3 else k % 5, t) for k, t in enumerate(TEXTS)]
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "doc_id long, text string, length int, piece int")
