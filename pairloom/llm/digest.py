@@ -1,9 +1,9 @@
 """Document fingerprints from improbable features.
 
-Every 64-byte window of a text gets the entropy of its bytes; classes of entropy are ranked by how rare they
+Every 16-byte window of a text gets the entropy of its bytes; classes of entropy are ranked by how rare they
 are over the whole corpus, rarest first. A window that is the rarest of enough runs of neighbouring windows is a
-feature. Features go, in text order, into a chain of Bloom filters, and two chains are alike as far as their
-filters share more bits than chance would have them share.
+feature (runs reach over the text's ends, so a short text has features too). Features go, in text order, into a chain
+of Bloom filters, and two chains are alike as far as their filters share more bits than chance would have them share.
 """
 
 from __future__ import annotations
@@ -19,20 +19,19 @@ from pyspark.sql import functions as F
 from .common import small_batches, texts
 
 #: Bytes of a window; windows of a run, of which the rarest is noted; how often noted makes a feature.
-WINDOW, RUN, NOTED = 64, 64, 16
+WINDOW, RUN, NOTED = 16, 32, 8
 #: Bits of a filter, bits set for a feature, features of a filter.
 FILTER, HASHES, HELD = 2048, 5, 128
-#: Texts of fewer code points (so that an edit of equal length stays on the same side) go by runs of SMALL bytes.
-SHORT, SMALL = 192, 8
-#: Windows of so little entropy (classes of 1025, 1024 being six bits) come last: blanks and rules tell nothing.
+#: Classes of entropy; windows of the lowest come last: blanks and rules tell nothing.
 CLASSES, PLAIN = 1025, 102
-#: Bytes taken together, and lanes that walk over them side by side.
-CHUNK, LANES = 4 << 20, 8192
+#: Bytes taken together, and lanes that walk over them side by side; bytes of a partition.
+CHUNK, LANES, PART = 4 << 20, 8192, 32 << 20
 
 _STEP = np.zeros(WINDOW + 1, np.int32)  # growth of sum(c log2 c), in 1/16 bits, from c to c + 1
 _C = np.arange(1, WINDOW + 2)
 _STEP[1:] = np.diff(np.rint(_C * np.log2(_C) * 16).astype(np.int32))
-_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(WINDOW // 8)], np.uint64)
+_MOST = 16 * WINDOW * (WINDOW.bit_length() - 1)  # of a window of one byte value
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(max(2, WINDOW // 8))], np.uint64)
 
 
 def entropy_classes(data: np.ndarray) -> np.ndarray:
@@ -60,7 +59,7 @@ def entropy_classes(data: np.ndarray) -> np.ndarray:
         counts[at] = c + 1
         if t >= WINDOW - 1:
             k = t - WINDOW + 1
-            out[k] = CLASSES - 1 - total // 6
+            out[k] = CLASSES - 1 - total * (CLASSES - 1) // _MOST
             at = base + steps[k]
             c = counts[at] - 1
             total -= _STEP[c]
@@ -74,8 +73,8 @@ def class_counts(df: DataFrame, text_col: str = "text") -> list[int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            for data, starts in _chunks([t.encode() for t in texts(batch.column(0))]):
-                ok = _inside(len(data), starts)
+            for data, starts, lengths in _chunks([t.encode() for t in texts(batch.column(0))]):
+                ok = _inside(len(data), starts, lengths)
                 total += np.bincount(np.maximum(entropy_classes(data), 0)[ok], minlength=CLASSES)[:CLASSES]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(total)], names=["class", "n"])
 
@@ -93,24 +92,29 @@ def ranked(counts: list[int]) -> np.ndarray:
     return rank
 
 
-def _chunks(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole texts, about CHUNK bytes at once: the bytes, and where each text starts (and the last ends)."""
+def _chunks(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole texts, about CHUNK bytes at once, so far apart that no run sees two: the bytes, where each text starts, and
+    its length."""
     held: list[bytes] = []
     size = 0
+    gap = bytes(RUN)
     for k, row in enumerate(rows):
         held.append(row)
-        size += len(row)
+        size += len(row) + RUN
         if size >= CHUNK or k == len(rows) - 1:
-            yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
+            lengths = np.array(list(map(len, held)), np.int64)
+            starts = RUN + np.concatenate([[0], np.cumsum(lengths[:-1] + RUN)])
+            yield np.frombuffer(gap + gap.join(held) + gap, np.uint8), starts, lengths
             held, size = [], 0
 
 
-def _inside(n: int, starts: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """Whether the window from each place stays in one text, for the n - WINDOW + 1 places of the data."""
-    ok = np.ones(max(0, n - WINDOW + 1), bool)
-    for end in starts[1:-1].tolist():
-        ok[max(0, end - width + 1) : end] = False
-    return ok
+def _inside(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the window from each place lies in a text, for the n - WINDOW + 1 places of the data."""
+    change = np.zeros(n + 2, np.int32)
+    whole = lengths >= WINDOW
+    change[starts[whole]] += 1
+    change[(starts + lengths)[whole] - WINDOW + 1] -= 1
+    return np.cumsum(change)[: max(0, n - WINDOW + 1)] > 0
 
 
 class Digest:
@@ -153,44 +157,28 @@ def _hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (h * _MIX[1]) ^ (h >> np.uint64(32))
 
 
-def _short(text: bytes) -> Digest:
-    """All runs of SMALL bytes of a text too short for windows; all of it if shorter still."""
-    runs = [text[k : k + SMALL] for k in range(max(1, len(text) - SMALL + 1))] if text else []
-    return Digest(np.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little") for r in runs], np.uint64))
-
-
 def digests_of(rows: list[str], rank: np.ndarray) -> list[Digest]:
-    short = [len(r) < SHORT for r in rows]
-    encoded = [r.encode() for r in rows]
-    long = iter(_long([r for r, s in zip(encoded, short, strict=True) if not s], rank))
-    return [_short(r) if s else next(long) for r, s in zip(encoded, short, strict=True)]
-
-
-def _long(rows: list[bytes], rank: np.ndarray) -> Iterator[Digest]:
-    for data, starts in _chunks(rows):
-        n = len(data) - WINDOW + 1
-        lengths = np.diff(starts)
-        hashes, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if n > 0:
-            ok = _inside(len(data), starts)
-            key = np.where(ok, rank[np.maximum(entropy_classes(data), 0)], CLASSES) << 32 | np.arange(n)
-            low = key
-            for step in (1, 2, 4, 8, 16, 32):  # the least key of 64 places, doubled
-                low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
-            whole = _inside(len(data), starts, WINDOW + RUN - 1)[: len(low)]
-            noted = np.bincount(low[whole] & 0xFFFFFFFF, minlength=n)
-            chosen = noted >= NOTED
-            owner = np.searchsorted(starts, np.flatnonzero(chosen), side="right") - 1
-            none = np.ones(len(lengths), bool)
-            none[owner] = False
-            for k in np.flatnonzero(none & (lengths >= WINDOW)).tolist():  # too even for runs: its rarest
-                chosen[starts[k] + int(np.argmin(key[starts[k] : starts[k + 1] - WINDOW + 1]))] = True
-            at = np.flatnonzero(chosen)
-            owner = np.searchsorted(starts, at, side="right") - 1
-            hashes = _hashed(data, at)
-        cuts = np.searchsorted(owner, np.arange(len(lengths) + 1))
-        for k in range(len(lengths)):
-            yield Digest(hashes[cuts[k] : cuts[k + 1]])
+    """Of a text shorter than a window the whole is the one feature."""
+    out = []
+    for data, starts, lengths in _chunks([r.encode() for r in rows]):
+        ok = _inside(len(data), starts, lengths)
+        key = np.where(ok, rank[np.maximum(entropy_classes(data), 0)], CLASSES) << 32 | np.arange(len(ok))
+        low, step = key, 1
+        while step < RUN:  # the least key of RUN places, doubled
+            low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
+            step *= 2
+        low = low[low >> 32 < CLASSES]
+        chosen = np.bincount(low & 0xFFFFFFFF, minlength=len(ok)) >= NOTED
+        at = np.flatnonzero(chosen)
+        hashes = _hashed(data, at)
+        cuts = np.searchsorted(at, np.append(starts, len(data)))
+        for k, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+            if 0 < n < WINDOW:
+                whole = hashlib.blake2b(data[s : s + n].tobytes(), digest_size=8).digest()
+                out.append(Digest(np.frombuffer(whole, "<u8")))
+            else:
+                out.append(Digest(hashes[cuts[k] : cuts[k + 1]]))
+    return out
 
 
 def _edited(text: str, following: str) -> str:
@@ -215,7 +203,8 @@ def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ra
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if rank is None:
         rank = ranked(class_counts(own))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
     marks = own.agg(
         F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("first"),
         F.percentile_approx("id", [(k + 1) / parts for k in range(parts - 1)] or [0.5], max(10_000, 50 * parts)).alias("bounds"),
