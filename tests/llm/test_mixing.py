@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from pairloom.llm import mixing as M
 from pairloom.llm.queries import op3_mixed_sources
@@ -81,6 +82,47 @@ def test_corners(spark, monkeypatch):
     assert whole.columns == df.columns and sorted(map(str, whole.collect())) == sorted(map(str, df.collect()))
 
 
+def test_crowded_ids(spark, monkeypatch):
+    """Rows without an id, or of one id, are parted by what they hold; ranks stay whole."""
+    monkeypatch.setattr(M, "RANKED", 10)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "a" if i % 4 else "b", f"t{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = M.mixed(df, {"a": 3, "b": 1}, block=4, period=4)
+    plan = out._jdf.queryExecution().toString()
+    assert "__parts" in plan
+    order = check(out.collect(), 1200, 4)
+    check_order([["a", "b"].index(s) for s in order], [225, 75], [3, 1])
+
+
+def test_many_sources(spark):
+    """More sources than are planned one by one: all rows come, large ones keep their shares, the rest theirs together."""
+    rows = [(i, "big") for i in range(800)] + [(1000 + i, "mid") for i in range(400)] + [(2000 + i, f"s{i % 60}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"big": 40.0, "mid": 20.0} | {f"s{k}": 0.5 if k % 2 else 1.0 for k in range(60)}
+    for given in (weights, None):
+        order = check(M.mixed(df, given, block=4, planned=3).collect(), len(rows), 4)
+        names = ["big", "mid"]
+        grouped = [names.index(s) if s in names else 2 for s in order]
+        own = given or {s: n**0.5 for s, n in {"big": 800, "mid": 400, **{f"s{k}": 15 for k in range(60)}}.items()}
+        tail = sum(w for s, w in own.items() if s not in names)
+        check_order(grouped, [200, 100, 240], M.whole_shares([own["big"], own["mid"], tail], M.PERIOD))
+        rest = [s for s in order if s not in names]
+        left = {s: 4 for s in own if s not in names}
+        for n, s in enumerate(rest, 1):
+            left[s] -= 1
+            if given and 0 not in left.values():
+                assert all(abs(4 - left[s] - n * own[s] / tail) <= 1 + 60 * own[s] / tail for s in left)
+        assert M.mixed(df, given, block=4, planned=62).count() == len(rows)
+
+
+def test_missing_weight(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    for given in ({"a": 1.0}, {"a": 1.0, "b": 0.0}, {}):
+        with pytest.raises(ValueError):
+            M.mixed(df, given)
+
+
 def test_native(spark):
     df = spark.range(100).selectExpr("id doc_id", "cast(id % 3 as string) source")
-    assert not re.search("Python|Pandas|Arrow", M.mixed(df)._jdf.queryExecution().toString())
+    for planned in (512, 2):
+        assert not re.search("Python|Pandas|Arrow", M.mixed(df, planned=planned)._jdf.queryExecution().toString())
