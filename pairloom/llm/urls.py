@@ -1,8 +1,9 @@
 """URL filters: longest host-and-path rules, and trust that spreads over the links between hosts.
 
 Only DataFrame functions. Pages that rules judge make their hosts seeds: pages allowed by a rule of trust, pages
-blocked by one of distrust. Trust follows links, as personalised PageRank; distrust follows them backwards, to those
-who link to blocked hosts. A host whose distrust exceeds its trust is blocked.
+blocked by one of distrust; all seeds of a kind add up to one, so a verdict does not depend on how many pages rules of
+either kind judge. Trust follows links, as personalised PageRank; distrust follows them backwards, to those who link to
+blocked hosts. A host whose distrust exceeds its trust, times a threshold, is blocked.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
 
 def host_trust(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust) over edges (src, dst, n).
+    """(host, trust, distrust) from seeds (host, trust, distrust) over edges (src, dst, n). Seeds count as parts of their sum.
 
     Trust of a host is handed to the hosts that it links to, by their share of its links; distrust to the hosts that
     link to it, by their share of the links to it. What reaches a host without such links ends there.
@@ -62,10 +63,12 @@ def host_trust(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rou
     onward = edges.join(out, "src").select(F.col("src").alias("origin"), F.col("dst").alias("host"), (F.col("n") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
     behind = edges.join(back, "dst").select(F.col("dst").alias("origin"), F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("n") / F.col("all")).alias("d"))
     shares = checkpointed(onward.unionByName(behind).groupBy("origin", "host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
-    seeds = checkpointed(seeds)
-    now = seeds
+    whole = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))  # one row
+    part = lambda c, of: F.coalesce(F.try_divide(F.col(c), F.col(of)), F.lit(0.0)).alias(c)
+    seeds = checkpointed(seeds.crossJoin(F.broadcast(whole)).select("host", part("trust", "t"), part("distrust", "d")))
+    now = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
     if shares.isEmpty():
-        return now
+        return now  # as any number of rounds would leave it
     for _ in range(rounds):
         moved = shares.join(now.withColumnRenamed("host", "origin"), "origin").select("host", (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
         kept = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
@@ -73,10 +76,10 @@ def host_trust(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rou
     return now
 
 
-def url_verdicts(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 10, threshold: float = 1.0) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule (host and path of the rule that fits, or null), verdict.
 
-    A page that no rule fits is blocked if its host's distrust exceeds its trust; a host that neither reaches, a
+    A page that no rule fits is blocked if its host's distrust exceeds its trust times the threshold; a host that neither reaches, a
     tie and an empty host allow. Null urls and those without :// have an empty host and path; null html has no
     links. Repeated rows give a row each and count as often; other columns are ignored.
     """
@@ -85,7 +88,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id"
     count = lambda verdict: F.sum(F.when(F.col("found.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = read.where("found is not null and host <> ''").groupBy("host").agg(count("allow").alias("trust"), count("block").alias("distrust"))
     bad = host_trust(host_edges(pages, url_col=url_col, html_col=html_col), seeds, damping=damping, rounds=rounds)
-    bad = bad.where("distrust > trust").select("host", F.lit(True).alias("bad"))
+    bad = bad.where(F.col("distrust") > F.col("trust") * threshold).select("host", F.lit(True).alias("bad"))
     return read.join(bad, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"),

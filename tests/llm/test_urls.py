@@ -15,7 +15,7 @@ def slow_parts(url):
     return "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in host), re.split("[?#]", rest[len(host) :])[0]
 
 
-def slow(pages, rules, rounds=10, damping=0.85):
+def slow(pages, rules, rounds=10, damping=0.85, threshold=1.0):
     read, seeds, edges = [], defaultdict(lambda: [0.0, 0.0]), Counter()
     for i, url, html in pages:
         host, path = slow_parts(url)
@@ -32,8 +32,10 @@ def slow(pages, rules, rounds=10, damping=0.85):
     for (a, b), n in edges.items():
         out[a] += n
         back[b] += n
-    now = {h: list(v) for h, v in seeds.items()}
-    for _ in range(rounds if edges else 0):
+    whole = [sum(v[k] for v in seeds.values()) or 1.0 for k in (0, 1)]
+    seeds = {h: [v[0] / whole[0], v[1] / whole[1]] for h, v in seeds.items()}
+    now = {h: [t * (1 - damping), d * (1 - damping)] for h, (t, d) in seeds.items()}
+    for _ in range(rounds):
         new = defaultdict(lambda: [0.0, 0.0])
         for h, (t, d) in seeds.items():
             new[h][0] += t * (1 - damping)
@@ -42,7 +44,7 @@ def slow(pages, rules, rounds=10, damping=0.85):
             new[b][0] += damping * now.get(a, [0, 0])[0] * n / out[a]
             new[a][1] += damping * now.get(b, [0, 0])[1] * n / back[b]
         now = new
-    bad = {h for h, (t, d) in now.items() if d > t}
+    bad = {h for h, (t, d) in now.items() if d > t * threshold}
     return sorted((i, h, p, b and b[1], b[2] if b else "block" if h in bad else "allow") for i, h, p, b in read)
 
 
@@ -81,3 +83,12 @@ def test_native(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     plan = U.url_verdicts(df, RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_seeds_count_as_parts(spark):
+    """Many pages of trusted hosts and few blocked ones: who links to the blocked host only is blocked all the same."""
+    pages = [(k, f"http://a{k % 4}.org/x{k}", link("b.net")) for k in range(400)] + [(900, "http://bad.com/de/1", ""), (901, "http://c.net/1", link("bad.com")), (902, "http://c.net/2", link("bad.com")), (903, "http://b.net/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdicts = {r[0]: r[4] for r in got(df)}
+    assert got(df) == slow(pages, RULES) and verdicts[901] == "block" and verdicts[903] == "allow"
+    assert got(df, threshold=1e9) == slow(pages, RULES, threshold=1e9)
