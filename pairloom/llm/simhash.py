@@ -28,8 +28,8 @@ from .common import checkpointed, small_batches, texts
 BITS = 64
 #: Members of a group that one task links by itself.
 GROUP = 4096
-#: Sets of a component whose similarity one task takes; a larger one is compared in tiles of so many.
-TILE = 1024
+#: Sets of a component whose similarity one task takes, and what they hold; a larger one is compared in tiles of so much.
+TILE, SHINGLES = 4096, 2 << 20
 #: Fingerprints of a set of shingles, by differently mixed hashes: a similar pair is near in one of them at least.
 MIXES = 3
 #: What an entry costs, in verified candidates; distances from which large groups go to tiles at once, as finer parts of so
@@ -382,13 +382,6 @@ def shingle_sets(rows: list[str], words: int, seed: int) -> list[np.ndarray]:
     return [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)) for t in rows]
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return both / (len(a) + len(b) - both)
-
-
 def set_fingerprints(own: np.ndarray) -> list[int]:
     """MIXES fingerprints of a set of hashes, as signed longs; 0 without shingles."""
     out = []
@@ -402,17 +395,32 @@ def set_fingerprints(own: np.ndarray) -> list[int]:
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the pairs of sets with this Jaccard similarity."""
-    sizes = np.array([len(s) for s in sets])
-    edges, left = [], np.arange(len(sets))
+    """Edges (positions) of a spanning forest of the pairs of sets (of distinct hashes) with this Jaccard similarity; two
+    empty sets have it. Each set is compared once, with all that are not yet linked."""
+    size = np.array([len(s) for s in sets], np.int64)
+    universe, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(universe), bool)
+    edges, left, own = [], np.arange(len(sets)), flat  # own: what the sets left hold, in a row
+    front: list[int] = []
     while len(left):
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
+        if front:
             k = front.pop()
-            near = np.minimum(sizes[left], sizes[k]) >= similarity * np.maximum(sizes[left], sizes[k])
-            for at in np.flatnonzero(near).tolist():
-                near[at] = _jaccard(sets[k], sets[int(left[at])]) >= similarity
+        else:
+            k, left, own = int(left[0]), left[1:], own[size[left[0]] :]
+            if not len(left):
+                break
+        mine = flat[begins[k] : begins[k + 1]]
+        mark[mine] = True
+        hits = np.concatenate([[0], np.cumsum(mark[own])])
+        mark[mine] = False
+        ends = np.cumsum(size[left])
+        both = hits[ends] - hits[ends - size[left]]
+        # whole numbers times the similarity, with the least of slack against rounding
+        near = both >= similarity * (size[left] + size[k] - both) * (1 - 1e-12)
+        if near.any():
             found = left[near]
+            own = own[np.repeat(~near, size[left])]
             left = left[~near]
             edges += [(k, int(j)) for j in found]
             front += found.tolist()
@@ -463,13 +471,13 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     edges = near.join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
     edges = edges.unionByName(each.join(of_fp.where("n > 1"), "fp").select(F.col("key").alias("u"), F.col("first").alias("v")))
     labels = connected_components(edges, "u", "v")
-    named = distinct.select("key", "least_id").join(labels.select(F.col("node").alias("key"), "component"), "key")
-    members = named.groupBy("component").agg(F.count("*").alias("members"))
-    met = checkpointed(named.join(members, "component").select("component", "members", "key", "least_id"))
+    named = distinct.select("key", "least_id", "size").join(labels.select(F.col("node").alias("key"), "component"), "key")
+    half = F.greatest(F.ceil(F.count("*") / F.lit(tile // 2)), F.ceil(F.sum("size") / F.lit(SHINGLES // 2)))
+    one = (F.count("*") <= tile) & (F.sum("size") <= SHINGLES)
+    members = named.groupBy("component").agg(F.when(one, 1).otherwise(half).cast("int").alias("chunks"))
+    met = checkpointed(named.join(members, "component").select("component", "chunks", "key", "least_id"))
     read = rows.join(met.select(F.col("least_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(made(True), "key long, shingles binary")
-    chunks = F.ceil(F.col("members") / F.lit(tile // 2)).cast("int")
-    chunks = F.when(F.col("members") <= tile, F.lit(1)).otherwise(chunks)
-    tiled = met.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    tiled = met.withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     tiled = tiled.join(read.dropDuplicates(["key"]), "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("component", F.least("c", "o").alias("low"), F.greatest("c", "o").alias("high"), "key", "shingles")
 
