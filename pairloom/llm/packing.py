@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 
 from .common import checkpointed, small_batches, texts
 
-#: Words and parts of words that a worker remembers.
-REMEMBERED = 700_000
+#: Words, and parts of words, that a worker remembers in each of two generations.
+REMEMBERED = 150_000
 #: Pieces of a partition; room that keeps a bin open, as a part of the capacity; part of the open bins that a turn must save
 #: for another.
 SHARE, ROOM, SAVED = 60_000, 0.03, 0.001
@@ -96,13 +96,19 @@ class WordTokenizer:
 
 
 class _Known(dict):
+    """What was made before, of the newer generation; of the older one what is asked for again comes over."""
+
     def __init__(self, make) -> None:
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 60:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
