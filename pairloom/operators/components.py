@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..storage import checkpointed
 
 
-def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
+def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b", rows: int | None = None) -> DataFrame:
+    """(node, component) for every node of an edge; component is the smallest node reachable. rows: about how many edges
+    there are, where the caller knows.
 
     Alternating large-star and small-star steps: each is a partial aggregate and a join on the node, so a
     hub's edges are split like any skewed join and no neighbourhood is gathered. The number of rounds grows
     with the logarithm of the diameter; every round is written to the checkpoint folder.
     """
-    now = _kept(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    now = checkpointed(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), rows
     )
     before = None
     while True:
@@ -37,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b") ->
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(lowest, "u")
         small = met.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        now = _kept(small.where("u <> v").distinct())
+        now = checkpointed(small.where("u <> v").distinct(), seen[0])
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

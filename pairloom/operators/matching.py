@@ -58,15 +58,16 @@ def _sides(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 def like_brand(own: DataFrame) -> DataFrame:
     """(a, b) of products of one brand, or of which one's brand is unknown.
 
-    A product of unknown brand is filed under every brand of the table, and under none; two such meet under none.
+    A product of unknown brand meets all others: those are dealt out by a hash, and it goes to each hash's partition.
     """
-    listed = own.where("brand is not null").agg(F.collect_set("brand").alias("listed"))
-    filed = own.crossJoin(F.broadcast(listed))  # one row
-    keys = F.when(F.col("brand").isNotNull(), F.array("brand")).otherwise(F.concat("listed", F.array(F.lit(""))))
-    filed = filed.withColumn("key", F.explode(keys)).drop("listed")
-    a, b = _sides(filed)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.product_id") < F.col("b.product_id")))
-    return met.where(F.col("a.brand").isNotNull() | F.col("b.brand").isNotNull() | (F.col("a.key") == ""))
+    a, b = _sides(own.where("brand is not null"))
+    known = a.join(b, (F.col("a.brand") == F.col("b.brand")) & (F.col("a.product_id") < F.col("b.product_id")))
+    deals = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = own.select(F.struct("*").alias("x"), F.pmod(F.xxhash64("product_id"), F.lit(deals)).cast("int").alias("deal"))
+    many = own.where("brand is null").select(F.struct("*").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    first = F.col("x.product_id") < F.col("y.product_id")
+    met = one.join(many, "deal").where(first | (F.col("x.brand").isNotNull() & (F.col("x.product_id") > F.col("y.product_id"))))
+    return known.unionByName(met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")))
 
 
 def like_size(own: DataFrame, gap: float = 1.0) -> DataFrame:

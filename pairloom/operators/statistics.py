@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def dataset(products: DataFrame) -> DataFrame:
-    """One row: products, models, duplicate pairs, titles without their model id, and attributes of a product."""
+    """One row: products, models, duplicate pairs, titles without their model id (case counts), and attributes of a
+    product. products: raw records, as cleaning changes titles and joins attributes."""
     n = F.size("features")
     own = products.select(
         F.count("*").alias("products"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +19,30 @@ from ..operators import matching as P
 from ..operators import metrics as E
 from ..operators import sampling as R
 from ..operators import statistics as D
-from ..operators.components import _kept
+from ..sources.products import first, raw_parts, read_lines, read_partners, spread, write_duplicates, write_list
 from ..sources.products import parts as clean_parts
-from ..sources.products import raw_parts
+from ..storage import shared_folder, written
 
 T_BAND = 0.5
 M = Matching()
+#: Bootstraps of the experiments; products of the small one; its thresholds; products of which MSMP compares all pairs.
+BOOTSTRAPS, SMALL = 3, 200
+SMALL_STEPS = tuple(k / 20 for k in range(1, 20))
+COMPARED = 400
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean products, written once: all that follows reads them several times, in as many partitions as there are cores
-    at least (a small table is one file, which one task would read and clean)."""
-    return _kept(clean_parts(spark, sf_dir))
+    """Clean products, straight from the table: each query reads the columns that it needs."""
+    return clean_parts(spark, sf_dir)
 
 
 def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(P.prepared(parts(spark, sf_dir), P.brands(raw_parts(spark, sf_dir))))
+    return _prepared(clean_parts(spark, sf_dir), raw_parts(spark, sf_dir))
+
+
+def _prepared(products: DataFrame, raw: DataFrame) -> DataFrame:
+    """What pairs are judged by, made once a product: both sides of the joins read it."""
+    return written(P.prepared(spread(products), P.brands(raw)))
 
 
 def _fast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +50,14 @@ def _fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    products = parts(spark, sf_dir)
-    words = B.vocabulary(products)
+    return _signatures(parts(spark, sf_dir))
+
+
+def _signatures(products: DataFrame) -> tuple[DataFrame, int]:
+    products = spread(products)
+    words = written(B.vocabulary(products))
     hashes = B.Hashes.of(words.count())
-    return _kept(B.signatures(B.incidence(products, words), hashes)), hashes.n
+    return written(B.signatures(B.incidence(products, words), hashes)), hashes.n
 
 
 def _joined(column) -> F.Column:
@@ -102,7 +116,8 @@ def minhash_signatures(spark, sf_dir):
 def lsh_buckets(spark, sf_dir):
     signed, n = _signed(spark, sf_dir)
     found = B.buckets(signed, T_BAND, n)
-    return found.select("band", F.array_join(F.transform("part", lambda v: v.cast("string")), ",").alias("part"), F.size("members").cast("long").alias("members"), F.array_min("members").alias("first"), F.array_max("members").alias("last"))
+    own = found.groupBy("band", "part").agg(F.count("*").alias("members"), F.min("product_id").alias("first"), F.max("product_id").alias("last"))
+    return own.withColumn("part", F.array_join(F.transform("part", lambda v: v.cast("string")), ","))
 
 
 def lsh_candidates(spark, sf_dir):
@@ -199,6 +214,10 @@ def msmp_lsh_gated(spark, sf_dir):
     return _rounded(P.msmp(_own(spark, sf_dir), lsh_candidates(spark, sf_dir)))
 
 
+def msmp_fast_lsh_gated(spark, sf_dir):
+    return _rounded(P.msmp_fast(_own(spark, sf_dir), lsh_candidates(spark, sf_dir)))
+
+
 def gold_pairs(spark, sf_dir):
     return E.gold_pairs(parts(spark, sf_dir))
 
@@ -219,23 +238,95 @@ def f1_metrics(spark, sf_dir):
     return _agreement(spark, sf_dir).select(F.round("pair_quality", 6).alias("precision"), F.round("pair_completeness", 6).alias("recall"), F.round("f1", 6).alias("f1"))
 
 
+def _curves(products, gold, steps):
+    """(t, pair_completeness, pair_quality, f1_star, frac_comparisons) of LSH on these products, not rounded."""
+    signed, n = _signatures(products)
+    every = products.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(t)) for t in steps])).alias("t"))
+    out = E.agreement(B.sweep(signed, n, steps), gold, products, ("t",), every)
+    return out.select("t", "pair_completeness", "pair_quality", F.col("f1").alias("f1_star"), "frac_comparisons")
+
+
+def _six(rows, *keys):
+    return rows.select(*keys, *[F.round(c, 6).alias(c) for c in rows.columns if c not in keys])
+
+
 def f1_star_sweep(spark, sf_dir):
-    signed, n = _signed(spark, sf_dir)
-    out = E.agreement(B.sweep(signed, n, STEPS), gold_pairs(spark, sf_dir), parts(spark, sf_dir), ("t",), _steps(spark, "t"))
-    return out.select("t", *[F.round(c, 6).alias(d) for c, d in (("pair_completeness", "pair_completeness"), ("pair_quality", "pair_quality"), ("f1", "f1_star"), ("frac_comparisons", "frac_comparisons"))])
+    return _six(_curves(parts(spark, sf_dir), gold_pairs(spark, sf_dir), STEPS), "t")
+
+
+def lsh_small(spark, sf_dir):
+    """LSH on the first 200 products only, with gold pairs among them and nineteen thresholds."""
+    products = first(parts(spark, sf_dir), SMALL)
+    return _six(_curves(products, E.gold_pairs(products), SMALL_STEPS), "t")
+
+
+def restricted_gold(spark, sf_dir):
+    """Gold pairs of which both products were drawn for the first bootstrap."""
+    return E.restricted(gold_pairs(spark, sf_dir), R.train(parts(spark, sf_dir)))
+
+
+def _drawn(spark, sf_dir, k):
+    return R.train(parts(spark, sf_dir), k)
+
+
+def lsh_bootstraps(spark, sf_dir):
+    """LSH curves of each bootstrap's products (gold pairs are those of all products), averaged over the bootstraps."""
+    gold = written(gold_pairs(spark, sf_dir))
+    runs = [written(_curves(_drawn(spark, sf_dir, k), gold, STEPS)).withColumn("bootstrap", F.lit(k)) for k in range(BOOTSTRAPS)]
+    return _six(E.averaged(reduce(DataFrame.unionByName, runs), "t", "pair_completeness", "pair_quality", "f1_star", "frac_comparisons"), "t")
+
+
+def _clustered(distances, gold, spark):
+    return E.agreement(C.cluster_sweep(distances, STEPS), gold, None, ("epsilon",), _steps(spark, "epsilon")).select("epsilon", "f1")
+
+
+def fast_bootstraps(spark, sf_dir):
+    """F1 of the fast method's clusters by threshold, averaged over the bootstraps."""
+    gold, raw, runs = written(gold_pairs(spark, sf_dir)), raw_parts(spark, sf_dir), []
+    for k in range(BOOTSTRAPS):
+        own = _prepared(_drawn(spark, sf_dir, k), raw)
+        runs.append(written(_clustered(P.msmp_fast(own), gold, spark)).withColumn("bootstrap", F.lit(k)))
+    return _six(E.averaged(reduce(DataFrame.unionByName, runs), "epsilon", "f1"), "epsilon")
+
+
+def msmp_versus_fast(spark, sf_dir):
+    """F1 of both methods' clusters by threshold, and their mean, over bootstraps of the small set."""
+    small = first(parts(spark, sf_dir), COMPARED)
+    gold, raw, runs = written(E.gold_pairs(small)), first(raw_parts(spark, sf_dir), COMPARED), []
+    for k in range(BOOTSTRAPS):
+        own = _prepared(R.train(small, k), raw)
+        for method, measure in (("msmp", P.msmp), ("fast", P.msmp_fast)):
+            runs.append(written(_clustered(measure(own), gold, spark)).withColumn("method", F.lit(method)))
+    out = reduce(DataFrame.unionByName, runs).groupBy("method", "epsilon").agg(F.avg("f1").alias("f1"))
+    return _six(out, "method", "epsilon")
+
+
+def json_round_trip(spark, sf_dir):
+    """Clean products written as JSON and read back."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    write_list(parts(spark, sf_dir), path)
+    back = read_lines(spark, path)
+    return back.select("product_id", "model_id", "shop", "title", F.size("features").cast("long").alias("n_features"))
+
+
+def gold_round_trip(spark, sf_dir):
+    """Gold pairs written as a list of partners for each id and read back."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    write_duplicates(gold_pairs(spark, sf_dir), path)
+    return read_partners(spark, path)
 
 
 def dataset_stats(spark, sf_dir):
-    found = D.dataset(parts(spark, sf_dir))
+    found = D.dataset(raw_parts(spark, sf_dir))
     return found.select(*[F.round(c, 6).alias(c) if c in ("attributes_mean", "attributes_std", "rich_percent") else c for c in found.columns])
 
 
 def shop_counts(spark, sf_dir):
-    return D.by_shop(parts(spark, sf_dir))
+    return D.by_shop(raw_parts(spark, sf_dir))
 
 
 def feature_histogram(spark, sf_dir):
-    return D.histogram(parts(spark, sf_dir))
+    return D.histogram(raw_parts(spark, sf_dir))
 
 
 def bootstrap_train(spark, sf_dir):
@@ -264,7 +355,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_titles, clean_features, title_model_words, kvp_model_words, kvp_extended_words, vocab_regular, vocab_extended, brands, screen_sizes, hybrid_split,
         binary_incidence, minhash_signatures, lsh_buckets, lsh_candidates, lsh_sweep, same_shop_pairs, diff_brand_pairs, diff_screen_size_pairs, size_blocked_pairs,
         qgram_similarity, kvp_matching, jaccard_model_words, title_cosine, model_word_veto, avg_levenshtein, avg_levenshtein_hybrid, tmwm_similarity, msmp_distance,
-        msmp_fast_distance, msmp_lsh_gated, gold_pairs, pair_quality, pair_completeness, f1_metrics, f1_star_sweep, dataset_stats, shop_counts, feature_histogram,
+        msmp_fast_distance, msmp_lsh_gated, msmp_fast_lsh_gated, gold_pairs, pair_quality, pair_completeness, f1_metrics, f1_star_sweep, lsh_small, restricted_gold, lsh_bootstraps, fast_bootstraps,
+        msmp_versus_fast, json_round_trip, gold_round_trip, dataset_stats, shop_counts, feature_histogram,
         bootstrap_train, bootstrap_oob, cluster_pairs, epsilon_sweep,
     )
 }

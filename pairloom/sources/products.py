@@ -29,6 +29,12 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("uniqueProductID").alias("product_id"), F.col("modelID").alias("model_id"), "shop", "title", F.col("featuresMap").alias("features"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_list wrote: a product a line, so a folder of any size is read in parallel."""
+    rows = spark.read.json(path, schema=f"uniqueProductID long, {RECORD}")
+    return rows.select(F.col("uniqueProductID").alias("product_id"), F.col("modelID").alias("model_id"), "shop", "title", F.col("featuresMap").alias("features"))
+
+
 def read_words(spark: SparkSession, path: str, name: str = "word") -> DataFrame:
     """A JSON list of strings."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias(name))
@@ -41,6 +47,17 @@ def read_duplicates(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def read_partners(spark: SparkSession, path: str) -> DataFrame:
+    """What write_duplicates wrote, as pairs id_a < id_b."""
+    rows = spark.read.json(path, schema="id long, duplicates array<bigint>").select("id", F.explode("duplicates").alias("other"))
+    return rows.where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
+
+
+def positioned(rows: DataFrame, order: str) -> DataFrame:
+    """rows with position: 1, 2, ... in that order, by which lists without ids name their products."""
+    return numbered(rows, order, name="position", start=1)
+
+
 def write_list(products: DataFrame, path: str) -> None:
     """Products as JSON lines in the field names of the lists."""
     products.select(F.col("product_id").alias("uniqueProductID"), "title", "shop", F.col("model_id").alias("modelID"), F.col("features").alias("featuresMap")).write.mode("overwrite").json(path)
@@ -52,6 +69,11 @@ def write_duplicates(pairs: DataFrame, path: str) -> None:
     both.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_set("id_b")).alias("duplicates")).write.mode("overwrite").json(path)
 
 
+def write_words(words: DataFrame, path: str, name: str = "word") -> None:
+    """A column of strings (a vocabulary, the brands), sorted, as text files of one each."""
+    words.select(name).sort(name).write.mode("overwrite").text(path)
+
+
 def write_by_bootstrap(rows: DataFrame, path: str) -> None:
     """Rows with a column bootstrap, as Parquet with a folder for each."""
     rows.write.mode("overwrite").partitionBy("bootstrap").parquet(path)
@@ -79,11 +101,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table part as raw products: units in several spellings, some without brand or size, some rich in attributes."""
-    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    """The table part as raw products: units in several spellings, some without brand or size, some rich in attributes, some
+    with their model in the title."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     p, size = F.col("p_partkey"), F.col("p_size").cast("string")
     spelled = F.when(p % 4 == 0, F.concat(size, F.lit("-Inch"))).when(p % 4 == 1, F.concat(size, F.lit('"'))).when(p % 4 == 2, F.concat(size, F.lit(" inches"))).otherwise(F.concat(size, F.lit("inch")))
+    model = F.concat("p_name", F.lit("/"), "p_brand")
     more = F.when(p % 6 == 0, F.lit(" 120 Hz")).when(p % 6 == 1, F.lit(" 60-hertz")).when(p % 6 == 2, F.lit(" 25 pounds")).when(p % 9 == 3, F.concat(F.lit(" "), size, F.lit('-1/8"'))).otherwise(F.lit(""))
+    more = F.concat(more, F.when(p % 11 == 0, F.concat(F.lit(" "), model)).otherwise(F.lit("")))
     usd = F.concat(F.floor("p_retailprice").cast("string"), F.lit("usd"))
     entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
     none = F.array().cast("array<struct<key:string,value:string>>")
@@ -94,7 +119,7 @@ def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(p % 3 == 0, F.array(*[entry(f"Note {k}", F.lit("yes")) for k in range(1, 20)])).otherwise(none),
     )
     return part.select(
-        (p + 1).alias("product_id"), F.concat("p_name", F.lit("/"), "p_brand").alias("model_id"),
+        (p + 1).alias("product_id"), model.alias("model_id"),
         F.when(p % 4 == 0, "a.com").when(p % 4 == 1, "b.com").when(p % 4 == 2, "c.com").otherwise("shop.a.com").alias("shop"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(spelled, F.lit(" "), usd, more)).alias("title"),
         F.map_from_entries(features).alias("features"),

@@ -14,7 +14,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["clean_titles", "kvp_extended_words", "vocab_extended", "tmwm_similarity", "msmp_distance", "kvp_matching", "gold_pairs", "dataset_stats"])
+@pytest.mark.parametrize("name", ["clean_titles", "kvp_extended_words", "vocab_extended", "tmwm_similarity", "msmp_distance", "kvp_matching", "gold_pairs", "dataset_stats", "lsh_candidates", "lsh_small", "bootstrap_oob", "restricted_gold", "gold_round_trip"])
 def test_oracles(spark, name):
     df = entry.queries()[name](spark, SF)
     with duckdb.connect() as db:

@@ -82,6 +82,27 @@ def test_title(spark, a, b, want):
     assert got == want if want is None else math.isclose(got, want, abs_tol=0.005 if want == 0.33 else 1e-9)
 
 
+def test_signatures(spark):
+    hashes = B.Hashes.of(60)
+    rows = [(k, [(7 * k + j * j) % 60 for j in range(k % 5)]) for k in range(30)]
+    got = {r.product_id: r.signature for r in B.signatures(spark.createDataFrame(rows, "product_id long, rows array<long>"), hashes).collect()}
+    assert got == {k: [min(((a * r + b) % 30 for r in own), default=30) for a, b in zip(hashes.a, hashes.b)] for k, own in rows}
+    assert B.Hashes.of(60, most=8).a == hashes.a[:8]
+    none = B.signatures(spark.createDataFrame(rows, "product_id long, rows array<long>"), B.Hashes.of(0)).collect()
+    assert all(r.signature == [] for r in none) and len(none) == 30
+
+
+def test_plans(spark):
+    """Queries read the columns they need, straight from the table."""
+    plan = Q.shop_counts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<p_partkey:bigint>" in plan and "ExistingRDD" not in plan
+    assert "p_retailprice" not in Q.gold_pairs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([(0, 0, "a")], "row_id long, kind int, word string")
+    incident = B.incidence(X.parts(spark, SF), words)
+    sizes = [len(B.signatures(incident, B.Hashes.of(rows))._jdf.queryExecution().toString()) for rows in (40, 4000)]
+    assert abs(sizes[0] - sizes[1]) < 500  # no coefficients in the plan
+
+
 def test_bands():
     assert [B.bands(500, t) for t in (0.05, 0.2, 0.5, 0.7, 0.9)] == [(250, 2), (157, 3), (79, 6), (45, 11), (18, 27)]
     assert [B.bands(200, t) for t in (0.05, 0.2, 0.5, 0.7, 0.9)] == [(100, 2), (66, 3), (35, 5), (22, 9), (9, 21)]
@@ -99,8 +120,10 @@ def test_candidates(spark):
         want = {(x, y) for (x, s), (y, u) in itertools.combinations(rows, 2) if any(s[i * r : i * r + r] == u[i * r : i * r + r] for i in range(b))}
         assert {tuple(p) for p in B.candidates(signed, t, 12).collect()} == want
         assert {tuple(p)[1:] for p in B.sweep(signed, 12, (t, 0.4)).where(f"t = {t}").collect()} == want
-        buckets = B.buckets(signed, t, 12).collect()
-        assert {p for x in buckets for p in itertools.combinations(sorted(x.members), 2)} == want
+        members = {}
+        for x in B.buckets(signed, t, 12).collect():
+            members.setdefault((x.band, tuple(x.part)), []).append(x.product_id)
+        assert {p for m in members.values() for p in itertools.combinations(sorted(m), 2)} == want and all(len(m) > 1 for m in members.values())
 
 
 def test_components(spark):
@@ -191,6 +214,11 @@ def test_sampling(spark):
     ids = [products.orderBy("product_id").collect()[p].product_id for p in dict.fromkeys(R.draws(n, 2))]
     assert [r.product_id for r in drawn.orderBy("sample_pos").collect()] == ids and "model_id" not in drawn.columns
     assert R.out_of_bag(products, drawn).count() == n - len(ids)
+    gold = E.gold_pairs(products)
+    drawn_ids = set(ids)
+    want = {tuple(p) for p in gold.collect() if p.id_a in drawn_ids and p.id_b in drawn_ids}
+    assert {tuple(p) for p in E.restricted(gold, drawn).collect()} == want
+    assert [r.position for r in X.positioned(drawn, "sample_pos").orderBy("sample_pos").collect()] == list(range(1, len(ids) + 1))
     assert 0.5 < R.train_hashed(products).count() / n < 0.75
 
 
@@ -219,9 +247,30 @@ def test_json(spark, tmp_path):
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3)]
     X.write_duplicates(pairs, f"{tmp_path}/dups")
     assert spark.read.json(f"{tmp_path}/dups").count() == 3
+    assert sorted(map(tuple, X.read_partners(spark, f"{tmp_path}/dups").collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert X.read_lines(spark, f"{tmp_path}/list").count() == 3
+    X.write_words(spark.createDataFrame([("b",), ("a",)], "word string"), f"{tmp_path}/vocabulary")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/vocabulary").collect()] == ["a", "b"]
     X.write_by_bootstrap(pairs.withColumn("bootstrap", F.lit(1)), f"{tmp_path}/boot")
     assert X.read_bootstraps(spark, f"{tmp_path}/boot").count() == 3
 
 
+def test_experiments(spark):
+    """Means over bootstraps against the runs one by one."""
+    gold = {tuple(p) for p in E.gold_pairs(X.parts(spark, SF)).collect()}
+    f1 = []
+    for k in range(Q.BOOTSTRAPS):
+        own = Q._prepared(Q._drawn(spark, SF, k), X.raw_parts(spark, SF))
+        dist = {(r.id_a, r.id_b): r.dist for r in P.msmp_fast(own).collect()}
+        names = sorted({i for p in dist for i in p})
+        number = {v: i for i, v in enumerate(names)}
+        found = slow_clusters({(number[a], number[b]): d for (a, b), d in dist.items()}, len(names), 0.7)
+        found = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in found}
+        hit = len(found & gold)
+        f1.append(2 * hit / (len(found) + len(gold)) if hit else 0.0)
+    got = {r.epsilon: r.f1 for r in Q.fast_bootstraps(spark, SF).collect()}
+    assert math.isclose(got[0.7], sum(f1) / len(f1), abs_tol=1e-6) and sorted(got) == [round(0.05 * k, 2) for k in range(1, 19)]
+
+
 def test_names():
     assert not [n for n in Q.QUERIES if not re.fullmatch("[a-z0-9_]+", n)]
