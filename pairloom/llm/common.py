@@ -1,15 +1,15 @@
-"""What the operators of this package share: tables, Arrow batches, checkpoints."""
+"""What the operators of this package share: tables and Arrow batches; kept tables are those of the storage module."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import checkpointed, written
+from ..workers import tell_home
+
+__all__ = ["BATCH_ROWS", "checkpointed", "small_batches", "table", "texts", "written"]
+
 #: Rows of one Arrow batch; with texts of some kilobytes a batch stays at a few megabytes.
 BATCH_ROWS = 1000
 
@@ -23,42 +23,11 @@ def small_batches(spark: SparkSession) -> None:
 
     Python workers are also told where this package lies, in case the driver found it by its own path only.
     """
-    environment = spark.sparkContext.environment
-    home = str(Path(__file__).parents[2])
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+    tell_home(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: that which the cluster names in spark.checkpoint.dir, or one that was set by hand.
-
-    Only on one machine (tests) may a temporary folder serve; a cluster must name one that all its machines share.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as a Parquet table, of which only the columns needed are read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(column: pa.Array) -> list[str]:
     """Texts of a string column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -301,11 +301,13 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _parted(distinct_groups: DataFrame, key: list[str], group: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of groups of at most so many members (and two at least), and those of larger ones with their number (members)."""
-    sizes = distinct_groups.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
-    met = distinct_groups.join(sizes, key)
-    return met.where(F.col("members") <= group).drop("members"), met.where(F.col("members") > group)
+def _parted(filed: DataFrame, key: list[str], group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of groups of at most so many members (and two at least), those of larger ones with their number (members),
+    and the keys of these."""
+    sizes = filed.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
+    crowded = checkpointed(sizes.where(F.col("members") > group), 0)  # a file for a hundred thousand groups would do
+    met = filed.join(sizes.where(F.col("members") <= group), key)
+    return met.drop("members"), filed.join(crowded, key), crowded
 
 
 def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[str, ...] = (), ratio: float = 0.0, pairs: float | None = None) -> DataFrame:
@@ -320,10 +322,9 @@ def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     parts = plan(n, both, distance, pairs)
     key = [*by, "part", "value"]
-    few, many = _parted(_filed(distinct, parts, by), key, group)
-    many = checkpointed(many)
+    few, many, crowded = _parted(_filed(distinct, parts, by), key, group)
     out = _linked(few, key, distance, ratio)
-    if many.isEmpty():
+    if crowded.isEmpty():
         return out
     sized = [c for c in distinct.columns if c == "size"]
     if distance < FINER:
@@ -336,7 +337,7 @@ def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[
             rows = many.where(F.col("part") == k).select(*key, *sized, F.explode(F.array(*own)).alias("key"), "fp").select(*key, "key.*", *sized, "fp")
             finer = rows if finer is None else finer.unionByName(rows)
         key += ["sub", "rest"]
-        few, many = _parted(finer, key, group)
+        few, many, _ = _parted(finer, key, group)
         out = out.unionByName(_linked(few, key, distance, ratio))
     # Tiles: chunks of half a group's bound, every two of them together.
     chunks = F.ceil(F.col("members") / F.lit(group // 2)).cast("int")
@@ -355,8 +356,9 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     unless a component has no other. Texts are hashed whole; other columns are ignored.
     """
     own = checkpointed(fingerprints(df, id_col=id_col, text_col=text_col, words=words, seed=seed))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    labels = connected_components(links(distinct.select("fp"), distance, group), "a", "b")
+    rows = own.count()
+    distinct = checkpointed(own.groupBy("fp").agg(F.min(id_col).alias("least_id")), rows)
+    labels = connected_components(links(distinct.select("fp"), distance, group), "a", "b", rows)
     named = distinct.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = named.join(lowest, "component").select("fp", "component_id")
@@ -455,13 +457,14 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         return run
 
     own = checkpointed(rows.mapInArrow(made(False), f"id {id_type}, key long, fps array<long>, size long"))
-    distinct = checkpointed(own.groupBy("key").agg(F.min("id").alias("least_id"), F.first("fps").alias("fps"), F.first("size").alias("size")))
+    n = own.count()
+    distinct = checkpointed(own.groupBy("key").agg(F.min("id").alias("least_id"), F.first("fps").alias("fps"), F.first("size").alias("size")), n)
     # Filed in the class of its own size, and in the next if a similar set may be there; in a class sorted by size.
     class_ = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(np.log(CLASS)))).cast("int")
     each = distinct.select("key", class_.alias("class"), F.greatest("size", F.lit(1)).cast("long").alias("size"), F.posexplode("fps").alias("mix", "fp"))
     beyond = F.col("size") * (1.01 / similarity) >= F.pow(F.lit(CLASS), F.col("class") + 1)
     classes = F.when(beyond, F.array("class", F.col("class") + 1)).otherwise(F.array("class"))
-    classed = checkpointed(each.select("mix", F.explode(classes).alias("class"), "size", "fp").groupBy("mix", "class", "fp", "size").agg(F.lit(1).alias("one")).drop("one"))
+    classed = checkpointed(each.select("mix", F.explode(classes).alias("class"), "size", "fp").groupBy("mix", "class", "fp", "size").agg(F.lit(1).alias("one")).drop("one"), MIXES * n)
     # Pairs of sizes within the ratio, from the numbers of rows by steps of that ratio.
     step = F.floor(F.log("size") / F.lit(float(np.log(1 / similarity)))).cast("int")
     counts = {(r["mix"], r["step"]): r["n"] for r in each.groupBy("mix", step.alias("step")).agg(F.count("*").alias("n")).collect()}
@@ -470,12 +473,12 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     of_fp = each.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     edges = near.join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
     edges = edges.unionByName(each.join(of_fp.where("n > 1"), "fp").select(F.col("key").alias("u"), F.col("first").alias("v")))
-    labels = connected_components(edges, "u", "v")
+    labels = connected_components(edges, "u", "v", n)
     named = distinct.select("key", "least_id", "size").join(labels.select(F.col("node").alias("key"), "component"), "key")
     half = F.greatest(F.ceil(F.count("*") / F.lit(tile // 2)), F.ceil(F.sum("size") / F.lit(SHINGLES // 2)))
     one = (F.count("*") <= tile) & (F.sum("size") <= SHINGLES)
     members = named.groupBy("component").agg(F.when(one, 1).otherwise(half).cast("int").alias("chunks"))
-    met = checkpointed(named.join(members, "component").select("component", "chunks", "key", "least_id"))
+    met = checkpointed(named.join(members, "component").select("component", "chunks", "key", "least_id"), n)
     read = rows.join(met.select(F.col("least_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(made(True), "key long, shingles binary")
     tiled = met.withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     tiled = tiled.join(read.dropDuplicates(["key"]), "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -487,7 +490,7 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         edges = np.array(similar_forest(sets, similarity), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(keys[edges[:, 0]]), "b": pa.array(keys[edges[:, 1]])})
 
-    similar = connected_components(tiled.groupBy("component", "low", "high").applyInArrow(verified, "a long, b long"), "a", "b")
+    similar = connected_components(tiled.groupBy("component", "low", "high").applyInArrow(verified, "a long, b long"), "a", "b", n)
     joined = distinct.select("key", "least_id").join(similar.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lowest = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     return own.select("id", "key").join(joined.join(lowest, "component").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id")
