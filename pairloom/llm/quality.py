@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import checkpointed, small_batches, texts
+from .common import checkpointed, small_batches, texts, written
 
 #: Random features; ridge penalty for a row; bins of raw scores for the calibration.
 FEATURES, RIDGE, BINS = 384, 1e-4, 2000
@@ -187,14 +188,26 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def accepted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
-    """The rows of df, whole, whose text scores at least the threshold; no row is moved for it."""
-    model = fit(checkpointed(features(df, id_col=id_col, text_col=text_col)), labels, id_col=id_col, label_col=label_col)
-    at = df.columns.index(text_col)
+    """The rows of df, whole, whose text scores at least the threshold; no row is moved for it.
+
+    Rows are written once with their texts' statistics (a column __x), which the fit reads by themselves.
+    """
+    small_batches(df.sparkSession)
+    at, names = df.columns.index(text_col), df.columns
+    with_x = StructType([*df.schema.fields, StructField("__x", ArrayType(DoubleType()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([statistics(t) for t in texts(batch.column(at))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*names, "__x"])
+
+    rows = written(df.mapInArrow(read, with_x))
+    model = fit(rows.select(F.col(id_col).alias("id"), F.col("__x").alias("x")), labels, id_col=id_col, label_col=label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                score = model.score(np.array([statistics(t) for t in texts(batch.column(at))]))
-                yield batch.filter(pa.array(score >= threshold))
+                score = model.score(np.array(batch.column(len(names)).to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(score >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, df.schema)
