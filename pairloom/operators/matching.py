@@ -70,12 +70,21 @@ def like_brand(own: DataFrame) -> DataFrame:
     return known.unionByName(met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")))
 
 
-def like_size(own: DataFrame, gap: float = 1.0) -> DataFrame:
-    """(a, b) of products that have sizes within the gap: filed by whole gaps, met in the same and the next."""
+def like_size(own: DataFrame, gap: float = 1.0, of_brand: bool = False) -> DataFrame:
+    """(a, b) of products that have sizes within the gap: filed by whole gaps, met in the same and the next.
+
+    of_brand: only those of one brand, or of which one's brand is unknown; products of a known brand then meet by brand too.
+    """
     whole = F.array_distinct(F.transform("sizes", lambda s: F.floor(s / gap)))
-    ids = own.select("product_id", "sizes", F.explode(whole).alias("k"))
-    near = own.select(F.col("product_id").alias("other"), F.col("sizes").alias("others"), F.explode(F.array_distinct(F.flatten(F.transform(whole, lambda k: F.array(k - 1, k, k + 1))))).alias("k"))
-    met = ids.join(near, "k").where("product_id < other").where(~other_size(F.col("sizes"), F.col("others"), gap))
+    ids = own.select("product_id", "sizes", "brand", F.explode(whole).alias("k"))
+    near = own.select(F.col("product_id").alias("other"), F.col("sizes").alias("others"), F.col("brand").alias("brand_b"), F.explode(F.array_distinct(F.flatten(F.transform(whole, lambda k: F.array(k - 1, k, k + 1))))).alias("k"))
+    if of_brand:
+        known = ids.join(near.withColumn("brand", F.col("brand_b")), ["k", "brand"]).select("k", "product_id", "sizes", "other", "others")
+        loose = ids.where("brand is null").join(near, "k").unionByName(ids.where("brand is not null").join(near.where("brand_b is null"), "k"))
+        joined = known.unionByName(loose.select(*known.columns))
+    else:
+        joined = ids.join(near, "k")
+    met = joined.where("product_id < other").where(~other_size(F.col("sizes"), F.col("others"), gap))
     pairs = met.select(F.col("product_id").alias("id_a"), F.col("other").alias("id_b")).distinct()
     return of_pairs(own, pairs)
 
@@ -152,5 +161,5 @@ def msmp(own: DataFrame, candidates: DataFrame | None = None, m: Matching = DEFA
 
 def msmp_fast(own: DataFrame, candidates: DataFrame | None = None, m: Matching = DEFAULT) -> DataFrame:
     """The same, but sizes must be alike and titles of rich products don't count."""
-    pairs = of_pairs(own, candidates) if candidates is not None else like_size(own, m.size_gap)
+    pairs = of_pairs(own, candidates) if candidates is not None else like_size(own, m.size_gap, of_brand=True)
     return distances(allowed(pairs, m, fast=True), m, fast=True)

@@ -46,7 +46,7 @@ def _prepared(products: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def _fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.allowed(P.like_size(_own(spark, sf_dir)), M, fast=True)
+    return P.allowed(P.like_size(_own(spark, sf_dir), of_brand=True), M, fast=True)
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:

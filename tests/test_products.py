@@ -192,6 +192,9 @@ def test_like_brand_and_size(spark):
     want = {(a.product_id, b.product_id) for a, b in pairs if any(abs(x - y) < 1 for x in a.sizes for y in b.sizes)}
     got = [tuple(r) for r in Q._ids(P.like_size(own)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    both = {p for p in want if (lambda a, b: a.brand is None or b.brand is None or a.brand == b.brand)(*({r.product_id: r for r in rows}[i] for i in p))}
+    got = [tuple(r) for r in Q._ids(P.like_size(own, of_brand=True)).collect()]
+    assert len(got) == len(set(got)) and set(got) == both
     attributes = P.distances(P.like_size(own), Matching(gamma=0.3)).collect()
     assert len(attributes) == len(want) and all(r.dist is not None for r in attributes)
 
