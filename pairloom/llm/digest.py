@@ -25,7 +25,7 @@ FILTER, HASHES, HELD = 2048, 5, 128
 #: Classes of entropy; windows of the lowest come last: blanks and rules tell nothing.
 CLASSES, PLAIN = 1025, 102
 #: Bytes taken together, and lanes that walk over them side by side; bytes of a partition.
-CHUNK, LANES, PART = 4 << 20, 8192, 32 << 20
+CHUNK, LANES, PART = 4 << 20, 8192, 128 << 20
 
 _STEP = np.zeros(WINDOW + 1, np.int32)  # growth of sum(c log2 c), in 1/16 bits, from c to c + 1
 _C = np.arange(1, WINDOW + 2)

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Bytes of an anchor. Bytes of text hashed together, of a partition of texts, of a shard of contexts.
-ANCHOR, CHUNK, PART, SHARD = 32, 256 << 10, 24 << 20, 2 << 20
-#: Contexts of one anchor beyond which they meet by what stands before or behind it too.
+#: Bytes of an anchor. Bytes of text hashed together, of a part of the texts, of a shard of contexts; of a partition, which
+#: holds several parts one after another.
+ANCHOR, CHUNK, PART, SHARD, PARTITION = 32, 256 << 10, 24 << 20, 2 << 20, 192 << 20
+#: Different contexts of one anchor beyond which they meet by what stands before or behind it too. Either way gives the
+#: same result, as a string around an anchor has half of its further bytes on one side; it only bounds the work of a group.
 CROWD = 2000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -340,7 +342,7 @@ def _columns(held: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 ALL, LATER, COMPARE, SPAN, CROWDED = 0, 1, 2, 3, 4
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
     """Rows of _GROUP sorted by a, c, doc, at, in; verdicts of groups that occur more than once out."""
     held = None
     for batch in _then_none(batches):
@@ -361,7 +363,10 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_a) - 1
         differ = np.bincount(group, new_c)[group]
         many = differ > 1
-        kind = np.where(new_c, np.where(differ > CROWD, CROWDED, np.where(many, COMPARE, LATER)), ALL)
+        # rows of one id may lie in several partitions: those that start where the first one does are as early as it
+        head = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
+        first = (doc == doc[head]) & (at == at[head])
+        kind = np.where(first, np.where(differ > crowd, CROWDED, np.where(many, COMPARE, LATER)), ALL)
         keep = many | ~new_c | (n > 1)
         yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(c[keep]), pa.array(doc[keep]), pa.array(at[keep])], names=["part", "kind", "a", "c", "lo", "hi"])
 
@@ -537,7 +542,7 @@ def _cleaned(length: int, keep_text: bool, carried: list[str]):
     return run
 
 
-def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = (), crowd: int = CROWD) -> DataFrame:
     """One row per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text kept, the text left.
 
     (kept holds whole characters: one of which some bytes are removed and others not stays.) The columns in carry
@@ -548,7 +553,7 @@ def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     are read whole. Rows of one id that are alike do not remove each other; a null id counts as the least and comes
     back null. Columns not named are ignored; an empty table gives no rows.
 
-    Texts are dealt once, by a hash of their id, and that exchange serves all three passes over them.
+    Texts are dealt once, by a hash of their id and content, and that exchange serves all three passes over them.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -556,12 +561,13 @@ def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     own = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"), *[F.col(c).alias(f"__{c}") for c in carry])
     carried = [f"__{c}" for c in carry]
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
-    dealt = own.select(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part"), "doc", "key", "text", *carried).repartition(parts, F.col("part"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PARTITION))
+    parts = max(partitions, -(-int(total) // PART))
+    dealt = own.select(F.pmod(F.xxhash64("doc", "key"), F.lit(parts)).cast("int").alias("part"), "doc", "key", "text", *carried).repartition(partitions, F.col("part"))
     folded = dealt.sortWithinPartitions("part").mapInArrow(_folded(length), _GROUP)
-    said = folded.repartition(parts, F.col("a")).sortWithinPartitions("a", "c", "doc", "at").mapInArrow(_judged, _SAID)
+    said = folded.repartition(partitions, F.col("a")).sortWithinPartitions("a", "c", "doc", "at").mapInArrow(lambda batches: _judged(batches, crowd), _SAID)
     wanted = dealt.groupBy("part").cogroup(said.where(F.col("kind").isin(COMPARE, CROWDED)).groupBy("part")).applyInArrow(_wanted(length), "part int, a long, doc long, key long, start long, bytes binary")
-    spans = wanted.repartition(parts, F.col("a")).sortWithinPartitions("a", "doc", "start").mapInArrow(_compared(length), _SAID)
+    spans = wanted.repartition(partitions, F.col("a")).sortWithinPartitions("a", "doc", "start").mapInArrow(_compared(length), _SAID)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
     schema += "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carried)
     out = dealt.groupBy("part").cogroup(said.unionByName(spans).groupBy("part")).applyInArrow(_cleaned(length, keep_text, carried), schema)

@@ -54,16 +54,21 @@ class PieceModel:
     """A byte-pair model in the .model format, as far as counting needs it."""
 
     NORMAL, USER, UNUSED = 1, 4, 5
+    PAIRS = 2
 
     def __init__(self, path: str) -> None:
-        pieces, normal = [], {}
+        pieces, trained, normal = [], {}, {}
         with open(path, "rb") as file:
             for number, value in _fields(file.read()):
                 if number == 1:
                     piece = dict(_fields(value))
                     pieces.append((piece[1].decode(), struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0, piece.get(3, self.NORMAL)))
+                elif number == 2:
+                    trained = dict(_fields(value))
                 elif number == 3:
                     normal = dict(_fields(value))
+        if trained.get(3) != self.PAIRS or not trained.get(35):
+            raise ValueError("only byte-pair models with byte fallback are supported")
         if any(kind == self.USER for _, _, kind in pieces) or normal.get(1) != b"identity" or normal.get(4, 1):
             raise ValueError("only models without user symbols and with the identity normaliser are supported")
         self.prefix = bool(normal.get(3, 1))

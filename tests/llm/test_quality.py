@@ -31,6 +31,32 @@ def test_held_out(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.93
 
 
+def test_weights(spark):
+    """Summed by partitions, against a plain ridge on the same features; and the calibration against plain bins."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.fit(Q.features(docs), labels)
+    x = {r.doc_id: Q.statistics(r.text or "") for r in docs.collect()}
+    whole = np.array(list(x.values()))
+    scale = whole.std(axis=0)
+    assert np.allclose(model.mean, whole.mean(axis=0)) and np.allclose(model.scale, np.where(scale < 1e-9, 1, scale), rtol=1e-4, atol=1e-6)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    late = {i for i in known if zlib.crc32(str(i).encode()) % 20 >= 16}
+    early = [i for i in known if i not in late]
+    z, y = model.lifted(np.array([x[i] for i in early])), np.array([known[i] for i in early], float)
+    penalty = Q.RIDGE * len(early) * np.eye(z.shape[1])
+    penalty[-1, -1] = 0
+    weights = np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(z.shape[1]), z.T @ y)
+    some = model.lifted(whole[:200])
+    assert np.allclose(some @ weights, some @ model.weights, atol=1e-6)
+    raw = model.raw(np.array([x[i] for i in late]))
+    bins = np.clip((raw + 1) / 3 * Q.BINS, 0, Q.BINS - 1).astype(int)
+    truth = np.array([known[i] for i in late], float)
+    n, ones, sums = (np.array([f(bins == b) for b in np.unique(bins)]) for f in (lambda m: m.sum(), lambda m: truth[m].sum(), lambda m: raw[m].mean()))
+    at, chance = Q.isotonic(n, ones, sums)
+    assert np.allclose(at, model.at) and np.allclose(chance, model.chance)
+
+
 def test_corners(spark):
     docs = spark.createDataFrame([(1, "", 0), (2, None, 0), (None, "a b", 0), (4, "x" * 100000, 0), (4, "x" * 100000, 0)], "doc_id long, text string, x int")
     labels = spark.createDataFrame([], "doc_id long, quality int")

@@ -53,17 +53,32 @@ def test_made(spark):
     assert got(df) == slow(rows)
 
 
-def test_crowd(monkeypatch):
+def test_rows_of_one_id(spark):
+    """Rows without an id, or of one id, are dealt by their content; where they start alike neither is earlier."""
+    rng = np.random.default_rng(8)
+    passage = "".join(chr(c) for c in rng.integers(97, 123, 400))
+    rows = [(None if k % 3 else 7, (passage if k % 2 else passage[: 150 + k]) + f" {k} " * 5) for k in range(24)]
+    rows += [(None if k % 2 else 7, f"{k}" * (k % 5) + passage[k:]) for k in range(12)] + [(9, passage + "!"), (3, passage[:120]), (8, "?" + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df) == slow(rows)
+
+
+def test_crowds_on_spark(spark):
+    rows = made(6, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, crowd=1) == got(df) == slow(rows)
+
+
+def test_crowd():
     import pyarrow as pa
 
     rows = made(5, 80)
     texts = sorted((-5 if i is None else i, (t or "").encode()) for i, t in rows)
     ids = np.array([i for i, _ in texts])
     for crowd in (2000, 1):
-        monkeypatch.setattr(S, "CROWD", crowd)
         left = pa.RecordBatch.from_arrays([pa.array([3] * len(ids), pa.int32()), pa.array(ids), pa.array(ids), pa.array([t for _, t in texts])], names=["part", "doc", "key", "text"])
         folded = pa.Table.from_batches(list(S._folded(100)(iter([left])))).sort_by([(n, "ascending") for n in ("a", "c", "doc", "at")])
-        said = pa.Table.from_batches(list(S._judged(iter(folded.combine_chunks().to_batches()))))
+        said = pa.Table.from_batches(list(S._judged(iter(folded.combine_chunks().to_batches()), crowd)))
         assert crowd > 1 or S.CROWDED in said["kind"].to_pylist()
         wanted = S._wanted(100)(pa.Table.from_batches([left]), said).sort_by([(n, "ascending") for n in ("a", "doc", "start")])
         spans = list(S._compared(100)(iter(wanted.combine_chunks().to_batches())))
