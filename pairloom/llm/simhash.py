@@ -185,14 +185,18 @@ def _mask(bits: list[int]) -> int:
 
 
 def _filed(distinct: DataFrame, parts: list[tuple[list[int], int]], by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, part, value, ..., fp): each fingerprint under the values within the partition's radius of its own."""
+    """(key, part, ..., fp): each fingerprint under the values within the partition's radius of its own.
+
+    key: a hash of `by`, the partition and the value; should two keys be alike, more is compared, and nothing else.
+    """
     keys = []
     for k, (bits, r) in enumerate(parts):
         value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         flips = [list(f) for d in range(r + 1) for f in combinations(bits, d)]
         keys += [F.struct(F.lit(k).alias("part"), value.bitwiseXOR(F.lit(_mask(f))).alias("value")) for f in flips]
     rest = [c for c in distinct.columns if c not in (*by, "fp")]
-    return distinct.select(*by, *rest, "fp", F.explode(F.array(*keys)).alias("key")).select(*by, "key.part", "key.value", *rest, "fp")
+    filed = distinct.select(*by, *rest, "fp", F.explode(F.array(*keys)).alias("x"))
+    return filed.select(F.xxhash64(*by, "x.part", "x.value").alias("key"), F.col("x.part").cast("tinyint").alias("part"), *rest, "fp")
 
 
 def forest(x: np.ndarray, distance: int, size: np.ndarray | None = None, ratio: float = 0.0) -> list[tuple[int, int]]:
@@ -321,7 +325,7 @@ def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[
     if n < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     parts = plan(n, both, distance, pairs)
-    key = [*by, "part", "value"]
+    key = ["key"]
     few, many, crowded = _parted(_filed(distinct, parts, by), key, group)
     out = _linked(few, key, distance, ratio)
     if crowded.isEmpty():
@@ -334,17 +338,17 @@ def links(distinct: DataFrame, distance: int = 3, group: int = GROUP, by: tuple[
             rest = [b for b in range(BITS) if r or b not in bits]
             cuts = [rest[len(rest) * j // (distance + 1) : len(rest) * (j + 1) // (distance + 1)] for j in range(distance + 1)]
             own = [F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("rest")) for j, c in enumerate(cuts)]
-            rows = many.where(F.col("part") == k).select(*key, *sized, F.explode(F.array(*own)).alias("key"), "fp").select(*key, "key.*", *sized, "fp")
+            rows = many.where(F.col("part") == k).select("key", *sized, F.explode(F.array(*own)).alias("x"), "fp")
+            rows = rows.select(F.xxhash64("key", "x.sub", "x.rest").alias("key"), *sized, "fp")
             finer = rows if finer is None else finer.unionByName(rows)
-        key += ["sub", "rest"]
         few, many, _ = _parted(finer, key, group)
         out = out.unionByName(_linked(few, key, distance, ratio))
     # Tiles: chunks of half a group's bound, every two of them together.
     chunks = F.ceil(F.col("members") / F.lit(group // 2)).cast("int")
     tiled = many.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.withColumn("low", F.least("c", "o")).withColumn("high", F.greatest("c", "o")).drop("members")
-    return out.unionByName(_linked(tiled, [*key, "low", "high"], distance, ratio))
+    tiled = tiled.withColumn("low", F.least("c", "o")).withColumn("high", F.greatest("c", "o")).select(F.xxhash64("key", "low", "high").alias("key"), *sized, "fp")
+    return out.unionByName(_linked(tiled, key, distance, ratio))
 
 
 def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, distance: int = 3, group: int = GROUP) -> DataFrame:
