@@ -35,5 +35,5 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as a Parquet table, of which only the columns needed are read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
