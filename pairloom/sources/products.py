@@ -23,6 +23,12 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return numbered(rows, "k", "j", name="product_id", start=1).select("product_id", "model_id", "shop", "title", "features")
 
 
+def merged_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The top-level keys of what read_merged reads: the models that it lists, each once."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.json_object_keys("value")).alias("key")).distinct()
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of products, which have uniqueProductID; ones without are numbered in no given order."""
     rows = spark.read.json(path, multiLine=True, schema=f"uniqueProductID long, {RECORD}")

@@ -236,6 +236,7 @@ def test_json(spark, tmp_path):
     raw = X.read_merged(spark, f"{tmp_path}/all.json")
     rows = raw.orderBy("product_id").collect()
     assert [(r.product_id, r.model_id, r.title) for r in rows] == [(1, "m2", "B 5 Inch"), (2, "m1", "A"), (3, "m1", "C")] and rows[0].features == {"Brand": "X", "n": "3"}
+    assert sorted(r.key for r in X.merged_keys(spark, f"{tmp_path}/all.json").collect()) == ["m1", "m2"]
     products = X.cleaned(raw)
     assert products.where("product_id = 1").first().title == "b 5inch" and X.first(products, 2).count() == 2
     X.write_list(products, f"{tmp_path}/list")
