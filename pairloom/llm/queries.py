@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
 from .digest import digests
 from .html import main_texts
@@ -76,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_digest_likeness": op10_digest_likeness,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_verdicts": sql.url_verdicts(RULES)}

@@ -90,3 +90,44 @@ def test_one_of_each(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in ROWS], "doc_id long, text string, extra int")
     ids = sorted(r.doc_id for r in S.one_of_each(df).collect())
     assert 7 not in ids and 3 in ids and len(ids) == len(set(ids)) and S.one_of_each(df).columns == df.columns
+
+
+def correlated(n, seed=3):
+    """Fingerprints of which bits 0 to 15 vary together in fours, and the counts of their pairs of bits."""
+    rng = np.random.default_rng(seed)
+    bits = rng.random((n, 64)) < rng.uniform(0.3, 0.7, 64)
+    for k in range(16):
+        bits[:, k] = np.where(rng.random(n) < 0.9, bits[:, k - k % 4], bits[:, k])
+    x = bits.astype(float)
+    return bits, x.T @ x
+
+
+def test_chances():
+    """Mean and variance of differing bits against counted pairs, of bits that vary together and of others."""
+    bits, both = correlated(4000)
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4000, 200_000), rng.integers(0, 4000, 200_000)
+    for own in (list(range(12)), list(range(30, 42))):
+        differ = (bits[a][:, own] != bits[b][:, own]).sum(axis=1)
+        chance, d = S._apart(4000, both, own, 12), np.arange(13)
+        mean = (chance * d).sum()
+        assert np.isclose(chance.sum(), 1) and np.isclose(mean, differ.mean(), rtol=0.03)
+        assert np.isclose((chance * d * d).sum() - mean**2, differ.var(), rtol=0.05)
+    assert np.allclose(chance, np.bincount(differ, minlength=13) / len(a), atol=0.01)
+    assert S._apart(4000, both, list(range(12)), 0)[0] > 3 * S._apart(4000, both, list(range(30, 42)), 0)[0]
+
+
+@pytest.mark.parametrize("distance", [3, 12])
+@pytest.mark.parametrize("filing", [1e-9, 20, 1e12])
+def test_plan_covers(distance, filing):
+    """Any two fingerprints within the distance have a value in common, whatever entries cost."""
+    _, both = correlated(500)
+    parts = S.plan(500, both, distance, filing=filing)
+    assert sum(2 * r + 1 for _, r in parts) > distance and len({b for bits, _ in parts for b in bits}) == sum(len(bits) for bits, _ in parts)
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        flipped = set(rng.choice(64, rng.integers(0, distance + 1), replace=False).tolist())
+        bits, r = min(parts, key=lambda p: len(flipped & set(p[0])) - 2 * p[1])
+        d = len(flipped & set(bits))
+        assert d <= 2 * r and S._meetings(len(bits), r, d) > 0
+    assert S._meetings(5, 1, 0) == 6 and S._meetings(5, 1, 1) == 2 == S._meetings(5, 1, 2) and S._meetings(5, 1, 3) == 0

@@ -1,10 +1,14 @@
 """op8 against a plain version."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pyarrow as pa
+
 from pairloom.llm import urls as U
-from pairloom.llm.queries import RULES, op8_url_verdicts
+from pairloom.llm.queries import ORACLES, RULES, op8_url_verdicts
 
 
 def slow_parts(url):
@@ -79,6 +83,27 @@ def test_small(spark):
     assert {r[3] for r in got(df.where("page_id > 3 and page_id < 7"))} == {None}
 
 
+def by_sql(pages, view="select * from rows"):
+    with duckdb.connect() as db:
+        if not isinstance(pages, str):
+            db.register("rows", pa.table({"page_id": [p[0] for p in pages], "url": [p[1] for p in pages], "html": pa.array([p[2] for p in pages], pa.string())}))
+        db.sql(f"create view pages as {view if not isinstance(pages, str) else pages}")
+        found = db.sql(ORACLES["op8_url_verdicts"])
+        assert sorted(found.columns) == ["host", "page_id", "path", "rule", "verdict"]
+        return sorted(found.project("page_id, host, path, rule, verdict").fetchall())
+
+
+def test_sql(spark):
+    """The SQL against the plain version, with links and on the table."""
+    rng = random.Random(6)
+    hosts = [f"h{k}.{rng.choice(['org', 'net', 'com'])}" for k in range(12)]
+    pages = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['de/', 'fr/', 'x'])}", link(*rng.choices(hosts, k=rng.randint(0, 4)))) for k in range(150)]
+    for rows in (PAGES, pages):
+        assert by_sql(rows) == slow(rows, RULES)
+    sf = "/root/testdata/sf0.001"
+    assert by_sql(f"select * from '{sf}/pages.parquet'") == sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in op8_url_verdicts(spark, sf).collect())
+
+
 def test_native(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     plan = U.url_verdicts(df, RULES)._jdf.queryExecution().toString()
