@@ -14,6 +14,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import checkpointed, small_batches, texts
 
 #: Words, and parts of words, that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Pieces of a partition; room that keeps a bin open, as a part of the capacity; part of the open bins that a turn must save
 #: for another.
 SHARE, ROOM, SAVED = 60_000, 0.03, 0.001
@@ -60,6 +61,7 @@ class WordTokenizer:
         self.model = self.whole.model
         self.symbols = _byte_symbols()
         self.parts = regex.compile(self.SPLITTER)
+        self.ascii_parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall  # the same for visible ASCII in lower case
         self.plain = re.compile("[!-~¡-ɏ]*")
         self.words: dict[bytes, bytes] = _Known(self.of_word)
         self.known: dict[str, bytes] = _Known(self.of_part)
@@ -84,15 +86,18 @@ class WordTokenizer:
 
     def of_word(self, word: bytes) -> bytes:
         text = word.decode()
+        if word.isalpha():  # of bytes: A-Z and a-z only
+            return self.known[text.lower()]
         if "<|" in text or not self.plain.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text.isascii():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return b"".join(map(self.known.__getitem__, self.parts.findall(text.lower() if text.isascii() else text)))
+        if text.isascii():
+            return b"".join(map(self.known.__getitem__, self.ascii_parts(text.lower())))
+        return b"".join(map(self.known.__getitem__, self.parts.findall(unicodedata.normalize("NFC", text).lower())))
 
     def of_part(self, part: str) -> bytes:
         shown = part if part.isascii() else "".join(self.symbols[b] for b in part.encode())
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return pack(f"<{len(ids)}I", *ids)
 
 
 class _Known(dict):
@@ -103,13 +108,11 @@ class _Known(dict):
         self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.older[key] if key in self.older else self.make(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
         if len(key) <= 60:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
             self[key] = value
         return value
 
