@@ -115,25 +115,29 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and each place's rank.
 
-    data: symbols above 0; the end counts as 0. Larsson-Sadakane: sort by the first 8 symbols, then sort only
-    groups not yet told apart, by the ranks 8, 16, ... places on, until none is left. (Kasai's scan needs the whole
-    order; equal prefixes of some depth would not do.)
+    data: bytes; the end counts as 0. Larsson-Sadakane: sort by the first symbols, as many as fit into a word with as few
+    bits each as the data's own symbols need, then sort only groups not yet told apart, by the ranks that many, twice as
+    many, ... places on, until none is left. (Kasai's scan needs the whole order; equal prefixes of some depth would not do.)
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint8)
+    own = np.bincount(data, minlength=256) > 0
+    own[0] = False
+    code = np.where(own, np.cumsum(own), 0).astype(np.uint8)
+    bits = max(1, int(own.sum()).bit_length())
+    h = min(16, 64 // bits)
+    padded = np.concatenate([code[data], np.zeros(h, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable").astype(np.int64)
+    for k in range(h):
+        key = (key << np.uint64(bits)) | padded[k : k + n]
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
     del key, sorted_key
     starts = np.flatnonzero(new)
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)  # a shard is far below 2**31 bytes
     rank[n] = -1
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    h = 8
+    rank[order] = np.repeat(starts.astype(np.int32), np.diff(np.append(starts, n)))
     while h < n:
         sizes = np.diff(np.append(starts, n))
         open_groups = np.flatnonzero(sizes > 1)
@@ -143,15 +147,14 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = sizes[open_groups]
         at = np.repeat(starts[open_groups] - np.concatenate([[0], np.cumsum(total)[:-1]]), total) + np.arange(total.sum())
         who = order[at]
-        group = rank[who]
-        nxt = rank[np.minimum(who + h, n)]
-        by = np.argsort(group * (n + 2) + nxt + 1, kind="stable")
-        who, group, nxt = who[by], group[by], nxt[by]
+        both = rank[who].astype(np.int64) * (n + 2) + rank[np.minimum(who + h, n)] + 1
+        by = np.argsort(both)
+        who, both = who[by], both[by]
         order[at] = who
         split = np.ones(len(at), bool)
-        split[1:] = (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])
+        split[1:] = both[1:] != both[:-1]
         heads = np.flatnonzero(split)
-        rank[who] = np.repeat(at[heads], np.diff(np.append(heads, len(at))))
+        rank[who] = np.repeat(at[heads].astype(np.int32), np.diff(np.append(heads, len(at))))
         new[at] = split
         starts = np.flatnonzero(new)
         h *= 2
@@ -194,7 +197,15 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin
 def repeats(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, shard: int = SHARD) -> list[np.ndarray]:
     """For each context (bytes without zero bytes of a document's from a place on), which of the strings of this
     length in it also start earlier, in any of the contexts: a Boolean for each place they can start at."""
-    found = [np.zeros(max(0, len(r) - length + 1), bool) for r in rows]
+    found, begins = repeats_in_a_row(rows, doc, start, length, shard)
+    return [found[b : b + max(0, len(r) - length + 1)] for r, b in zip(rows, begins.tolist(), strict=True)]
+
+
+def repeats_in_a_row(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """repeats() in one array, each row's followed by a False, and where each row's begin."""
+    places = np.array([max(0, len(r) - length + 1) for r in rows], np.int64) + 1
+    begins = np.cumsum(places) - places
+    found = np.zeros(int(places.sum()), bool)
     history: list[tuple] = []
     cuts, size = [0], 0
     for k, r in enumerate(rows):
@@ -209,8 +220,8 @@ def repeats(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int,
         first = np.ones(len(d), bool)
         first[1:] = text[1:] != text[:-1] if len(text) else first[1:]
         group = np.cumsum(first) - 1
-        for r in np.flatnonzero((d != d[first][group]) | (s != s[first][group])).tolist() if len(d) else []:
-            found[who[r]][place[r]] = True
+        late = (d != d[first][group]) | (s != s[first][group])
+        found[begins[who[late]] + place[late]] = True
         if len(cuts) == 2:
             break
         strings, fd, fs = text[first], d[first], s[first]
@@ -242,9 +253,8 @@ def repeats(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int,
         for text, d, s, who, place in history:
             at = np.searchsorted(merged[0], text)
             late = (merged[1][at] != d) | (merged[2][at] != s)
-            for r in np.flatnonzero(late).tolist():
-                found[who[r]][place[r]] = True
-    return found
+            found[begins[who[late]] + place[late]] = True
+    return found, begins
 
 
 def _classes(rows: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, alone: bool) -> tuple:
@@ -284,9 +294,15 @@ _GROUP = "part int, a long, c long, doc long, at long, n long"
 _SAID = "part int, kind int, a long, c long, lo long, hi long"
 
 
-def _part_anchors(ids: np.ndarray, texts: list[bytes], length: int) -> Iterator[tuple]:
+def _part_anchors(ids: np.ndarray, texts: list[bytes], length: int, only: np.ndarray | None = None) -> Iterator[tuple]:
+    """Anchors of the texts, chunk by chunk, with their contexts; only those of these hashes (ascending), if given."""
     for first, data, starts in _chunks(texts):
         at, h = anchors(data, starts, length)
+        if only is not None:
+            known = h.view(np.int64)
+            place = np.minimum(np.searchsorted(only, known), max(len(only) - 1, 0))
+            keep = only[place] == known if len(only) else np.zeros(len(known), bool)
+            at, h = at[keep], h[keep]
         text, left, right, c = contexts(data, starts, at, length)
         yield first, data, starts, at, h.view(np.int64), text, left, right, c.view(np.int64)
 
@@ -429,7 +445,7 @@ def _wanted(length: int):
         if left.num_rows and right.num_rows:
             part, ids, keys, texts = _sides(left)
             said = _said(right)
-            for first, data, starts, at, a, text, lo, hi, c in _part_anchors(ids, texts, length):
+            for first, data, starts, at, a, text, lo, hi, c in _part_anchors(ids, texts, length, said[1]):
                 row = _matched(a, c, said)
                 place = at - starts[text]
                 ok = (row >= 0) & (said[0][row] >= COMPARE) & (said[3][row] == ids[first + text]) & (said[4][row] == place)
@@ -450,16 +466,14 @@ def _compared(length: int):
 
     def judge(rows: list) -> Iterator[pa.RecordBatch]:
         part, _, doc, key, start, data = (np.array(v) if k < 5 else v for k, v in enumerate(zip(*rows, strict=True)))
-        found = repeats([_free(d) for d in data], doc, start, length, 2 * SHARD)
-        out: list[list] = [[], [], [], [], []]
-        for k, hit in enumerate(found):
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for column, value in zip(out, (int(part[k]), int(doc[k]), int(key[k]), int(start[k]) + lo, int(start[k]) + hi), strict=True):
-                        column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([SPAN] * len(out[0]), pa.int32()), *(pa.array(v, pa.int64()) for v in out[1:])], names=["part", "kind", "a", "c", "lo", "hi"])
+        found, begins = repeats_in_a_row([_free(d) for d in data], doc, start, length, 2 * SHARD)
+        edge = np.diff(np.concatenate([[0], found.view(np.int8)]))
+        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(lo):
+            row = np.searchsorted(begins, lo, side="right") - 1
+            base = start[row] - begins[row]
+            columns = (part[row].astype(np.int32), np.full(len(row), SPAN, np.int32), doc[row], key[row], base + lo, base + hi)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["part", "kind", "a", "c", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []  # whole groups
@@ -511,7 +525,7 @@ def _cleaned(length: int, keep_text: bool, carried: list[str]):
             extra = right.filter(pa.array(span))
             for doc, key, lo, hi in zip(*(extra[n].to_pylist() for n in ("a", "c", "lo", "hi")), strict=True):
                 spans.setdefault((doc, key), []).append((lo, hi))
-            for first, data, starts, at, a, text, lo, hi, c in _part_anchors(ids, texts, length):
+            for first, data, starts, at, a, text, lo, hi, c in _part_anchors(ids, texts, length, said[1]):
                 row = _matched(a, c, said)
                 place = at - starts[text]
                 mine = (said[3][row] == ids[first + text]) & (said[4][row] == place) if len(said[0]) else np.zeros(len(at), bool)
