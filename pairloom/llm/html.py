@@ -64,6 +64,8 @@ PAGES, SHARE, TOKENS = 3, 0.6, 3
 INSIDE, BELOW, ELSEWHERE, OUT = range(4)
 #: What article and main elements must hold, as a part of the text elsewhere, to be the main text; links of a menu's text.
 ENOUGH, MENU = 0.25, 0.5
+#: Different pages of a host from which its template may claim text within an article.
+SURE = 5
 #: Rows of sums that a task holds before it hands them on.
 HELD = 200_000
 
@@ -350,8 +352,9 @@ def chosen(inside: int, below: int, elsewhere: int) -> int:
     return ELSEWHERE
 
 
-def main_text(items: list[Block | tuple[str, ...]], own: set[int], most: int | None, menus: set[int]) -> str:
-    """The text of a page: what its host's template and ranks leave, or those of the page by itself (most: None)."""
+def main_text(items: list[Block | tuple[str, ...]], own: set[int], most: int | None, menus: set[int], pages: int = 0) -> str:
+    """The text of a page: what its host's template and ranks leave, or those of the page by itself (most: None). pages: of
+    the host, different ones."""
     blocks = [i for i in items if isinstance(i, Block)]
     if most is None:
         most = chosen(*(sum(len(b.text) for b in blocks if b.rank == k) for k in (INSIDE, BELOW, ELSEWHERE)))
@@ -360,15 +363,15 @@ def main_text(items: list[Block | tuple[str, ...]], own: set[int], most: int | N
     tokens = [token_of(i) for i in items]
     main = [(i, t) for i, t, slot in zip(items, tokens, slots_of(tokens, own), strict=True) if isinstance(i, Block) and i.rank <= most and not (i.rank == ELSEWHERE and slot in menus)]
     left = [(i, t) for i, t in main if t not in own]
-    # more than half of the text in common with most of the host is a copy's, not a template's
-    if most < ELSEWHERE and sum(len(i.text) for i, _ in left) * 2 < sum(len(i.text) for i, _ in main):
+    # articles of a few pages may share a passage, and more than half of the text in common is a copy's, not a template's
+    if most < ELSEWHERE and (pages < SURE or sum(len(i.text) for i, _ in left) * 2 < sum(len(i.text) for i, _ in main)):
         left = main
     return " ".join(i.text for i, _ in left)
 
 
 def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, own, most, menus): the template tokens of each host that has any, the ranks that are its main text, and its
-    slots of links."""
+    """(host, own, most, menus, pages): the template tokens of each host that has any, the ranks that are its main text, its
+    slots of links, and the number of its different pages."""
     tokens = tokens_of(pages, url_col=url_col, html_col=html_col)
     once = tokens.groupBy("host", "page").agg(F.first(F.struct("t", "k", "c", "l")).alias("x")).select("host", "page", "x.*")
     tokens = written(once)
@@ -381,7 +384,9 @@ def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
     ranked = slots.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("inside", "below", "elsewhere")], F.collect_list(F.when(menu, F.col("slot"))).alias("menus"))
     enough = lambda c: (F.col(c) > 0) & (F.col(c) >= ENOUGH * F.col("elsewhere"))  # noqa: E731  as chosen()
     most = F.when(enough("inside"), INSIDE).when(enough("below"), BELOW).otherwise(ELSEWHERE)
-    return own.join(ranked.select("host", most.alias("most"), "menus"), "host", "left").select("host", "own", F.coalesce("most", F.lit(ELSEWHERE)).alias("most"), F.coalesce("menus", F.array().cast("array<long>")).alias("menus"))
+    counted = tokens.groupBy("host").agg(F.count("*").alias("pages"))
+    found = own.join(counted, "host").join(ranked.select("host", most.alias("most"), "menus"), "host", "left")
+    return found.select("host", "own", F.coalesce("most", F.lit(ELSEWHERE)).alias("most"), F.coalesce("menus", F.array().cast("array<long>")).alias("menus"), "pages")
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -394,13 +399,13 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     small_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    rows = own.join(written(templates(pages, url_col=url_col, html_col=html_col)), "host", "left").select("id", "url", "html", "own", "most", "menus")
+    rows = own.join(written(templates(pages, url_col=url_col, html_col=html_col)), "host", "left").select("id", "url", "html", "own", "most", "menus", "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for page, known, most, menus in zip(texts(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
-                found.append(main_text(parsed(page), set(known or ()), most, set(menus or ())))
+            for page, known, most, menus, n in zip(texts(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True):
+                found.append(main_text(parsed(page), set(known or ()), most, set(menus or ()), n or 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     out = rows.mapInArrow(run, f"id {id_type}, url string, text string, n_chars long")

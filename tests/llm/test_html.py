@@ -142,8 +142,10 @@ def test_same_line_in_articles(spark):
     words = "one two three four five six seven eight".split()
     pages = [(k, f"http://h.org/{k}", f"<body><div class=m{k}><a>Home {k}</a> <a>Away</a></div><article><p class=f>First line</p><h1>Title {k}</h1><p>{' '.join(words[k % 5:])} {k} and much more of it</p><p>more of {k}</p><div class=z>All of h</div></article></body>") for k in range(9)]
     pages += [(20 + k, f"http://g.org/{k}", f"<body><article><h1>Same</h1><p class=x>{'The very same text. ' * 5}</p><p class=y>end {k}</p><div class=z>z</div></article></body>") for k in range(4)]
+    pages += [(60 + k, f"http://e.org/{k}", f"<body><div class=a>A</div><article><h1>Title {k}</h1><p>{'Passage of three articles. ' * 4}</p><p>{'own words ' * 30} {k}</p></article><div class=b>B</div></body>") for k in range(3)]
     pages += [(40 + k, f"http://f.org/{k}", f"<body><div class=q><a>Go {k}</a> <a>there</a></div><div class=s><p>Text of {k}</p></div><div class=t>End</div></body>") for k in range(4)]
     rows = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(rows[k] == f"Title {k} {' '.join(words[k % 5:])} {k} and much more of it more of {k}" for k in range(9))
     assert all(rows[20 + k] == "Same " + "The very same text. " * 5 + f"end {k} z" for k in range(4))
+    assert all(rows[60 + k] == f"Title {k} " + "Passage of three articles. " * 4 + "own words " * 30 + f"{k}" for k in range(3))
     assert all(rows[40 + k] == f"Text of {k}" for k in range(4))
