@@ -26,10 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def files(rows: int) -> int:
+    """Files for so many small rows."""
+    return max(LEAST, rows // ROWS)
+
+
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, written to the shared folder and cut from its lineage; of about so many small rows, in no more files than they fill."""
     shared_folder(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(LEAST, rows // ROWS))).checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(files(rows))).checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
