@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, small_batches, texts
+from ..storage import files
+from .common import checkpointed, small_batches, texts, written
 
 BITS = 64
 #: Members of a group that one task links by itself.
@@ -378,9 +379,14 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _lowest_rows(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
+    """Ids are written as tables, whose size Spark knows, so it broadcasts small ones and leaves the rows where they are.
+    Only rows of repeated ids are grouped."""
+    stay = written(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct())
+    repeated = written(found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).where("n > 1 and __id is not null").select("__id"))
     kept = df.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    once = kept.join(repeated, F.col(id_col) == F.col("__id"), "left_anti")
+    first = kept.join(repeated, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return once.unionByName(first).unionByName(df.where(F.col(id_col).isNull()))
 
 
 def shingle_sets(rows: list[str], words: int, seed: int) -> list[np.ndarray]:
@@ -482,8 +488,10 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     half = F.greatest(F.ceil(F.count("*") / F.lit(tile // 2)), F.ceil(F.sum("size") / F.lit(SHINGLES // 2)))
     one = (F.count("*") <= tile) & (F.sum("size") <= SHINGLES)
     members = named.groupBy("component").agg(F.when(one, 1).otherwise(half).cast("int").alias("chunks"))
-    met = checkpointed(named.join(members, "component").select("component", "chunks", "key", "least_id"), n)
-    read = rows.join(met.select(F.col("least_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(made(True), "key long, shingles binary")
+    met = written(named.join(members, "component").select("component", "chunks", "key", "least_id").coalesce(files(n)))
+    # texts are read where they lie, if Spark finds the table of ids small enough to broadcast
+    ids = written(met.select(F.col("least_id").alias("id")).distinct().coalesce(files(n)))
+    read = rows.join(ids, "id", "left_semi").mapInArrow(made(True), "key long, shingles binary")
     tiled = met.withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     tiled = tiled.join(read.dropDuplicates(["key"]), "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("component", F.least("c", "o").alias("low"), F.greatest("c", "o").alias("high"), "key", "shingles")
