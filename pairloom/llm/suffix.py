@@ -22,7 +22,7 @@ from .common import small_batches
 
 #: Bytes of an anchor. Bytes of text hashed together, of a part of the texts, of a shard of contexts; of a partition, which
 #: holds several parts one after another.
-ANCHOR, CHUNK, PART, SHARD, PARTITION = 32, 256 << 10, 24 << 20, 2 << 20, 192 << 20
+ANCHOR, CHUNK, PART, SHARD, PARTITION = 32, 256 << 10, 24 << 20, 1 << 20, 192 << 20
 #: Different contexts of one anchor beyond which they meet by what stands before or behind it too. Either way gives the
 #: same result, as a string around an anchor has half of its further bytes on one side; it only bounds the work of a group.
 CROWD = 2000
@@ -134,18 +134,15 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
     del key, sorted_key
-    starts = np.flatnonzero(new)
     rank = np.empty(n + 1, np.int32)  # a shard is far below 2**31 bytes
     rank[n] = -1
-    rank[order] = np.repeat(starts.astype(np.int32), np.diff(np.append(starts, n)))
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     while h < n:
-        sizes = np.diff(np.append(starts, n))
-        open_groups = np.flatnonzero(sizes > 1)
-        if not len(open_groups):
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        at = np.flatnonzero(~alone)  # places in the order that groups of more than one take up
+        if not len(at):
             break
-        # places in the order that groups of more than one take up
-        total = sizes[open_groups]
-        at = np.repeat(starts[open_groups] - np.concatenate([[0], np.cumsum(total)[:-1]]), total) + np.arange(total.sum())
         who = order[at]
         both = rank[who].astype(np.int64) * (n + 2) + rank[np.minimum(who + h, n)] + 1
         by = np.argsort(both)
@@ -153,10 +150,8 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order[at] = who
         split = np.ones(len(at), bool)
         split[1:] = both[1:] != both[:-1]
-        heads = np.flatnonzero(split)
-        rank[who] = np.repeat(at[heads].astype(np.int32), np.diff(np.append(heads, len(at))))
+        rank[who] = np.maximum.accumulate(np.where(split, at, 0))
         new[at] = split
-        starts = np.flatnonzero(new)
         h *= 2
     return order, rank[:n]
 
@@ -168,29 +163,27 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin
     `begins` to the next, are scanned side by side.
     """
     n = len(data)
-    before = np.where(rank > 0, order[np.maximum(rank, 1) - 1], -1)
-    padded = np.concatenate([data, np.zeros(most + 1, np.uint8)])
+    before = np.where(rank > 0, order[np.maximum(rank, 1) - 1], n)
+    padded = np.concatenate([data, np.zeros(most + 1, np.uint8)])  # what lies beyond the end is never part of a whole string
     out = np.zeros(n, np.int32)
     ends = np.append(begins[1:], n)
-    length = np.zeros(len(begins), np.int64)
     lanes = np.argsort(begins - ends, kind="stable")  # longest first, so that those still open are a prefix
-    spans = (ends - begins)[lanes]
+    first, spans = begins[lanes], (ends - begins)[lanes]
+    length = np.zeros(len(begins), np.int64)
     for k in range(int(spans.max(initial=0))):
-        live = lanes[: np.searchsorted(-spans, -k, side="left")]
-        here = begins[live] + k
+        live = int(np.searchsorted(-spans, -k, side="left"))
+        here = first[:live] + k
         other = before[here]
-        got = np.maximum(length[live] - 1, 0)
-        got[other < 0] = 0
-        grow = np.flatnonzero((other >= 0) & (got < most))
+        got = np.maximum(length[:live] - 1, 0)
+        got *= other < n
+        grow = np.flatnonzero((padded[here + got] == padded[other + got]) & (got < most))
         while len(grow):
-            a, b = here[grow] + got[grow], other[grow] + got[grow]
-            same = (a < n) & (b < n)
-            same &= padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
-            grow = grow[same]
-            got[grow] += 1
-            grow = grow[got[grow] < most]
+            now = got[grow] + 1
+            got[grow] = now
+            more = (padded[here[grow] + now] == padded[other[grow] + now]) & (now < most)
+            grow = grow[more]
         out[here] = got
-        length[live] = got
+        length[:live] = got
     return out
 
 
