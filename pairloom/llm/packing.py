@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import checkpointed, small_batches, texts
 
 #: Words, and parts of words, that a worker remembers in each of two generations.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 #: Pieces of a partition; room that keeps a bin open, as a part of the capacity; part of the open bins that a turn must save
 #: for another.
 SHARE, ROOM, SAVED = 60_000, 0.03, 0.001
