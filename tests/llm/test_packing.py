@@ -111,3 +111,32 @@ def test_bound():
         where, offset, room = P.best_fit_decreasing(lengths, 30)
         assert P.least_bins(lengths, 30) <= best <= len(room)
         assert (np.bincount(where, lengths) <= 30).all()
+
+
+def test_certified_fit():
+    """Whole packings, never more bins than best fit's, and fewer where the bound shows a gap that another order closes."""
+    rng, closed = np.random.default_rng(1), 0
+    for k in range(300):
+        lengths = np.sort(rng.integers(3, [40, 60, 100][k % 3], rng.integers(5, 60)))[::-1]
+        plain = len(P.best_fit_decreasing(lengths, 100)[2])
+        where, offset, room, least = P.certified_fit(lengths, 100)
+        assert least == P.least_bins(lengths, 100) <= len(room) <= plain
+        assert (np.bincount(where, lengths, len(room)) + room == 100).all()
+        for b in range(len(room)):
+            own = np.flatnonzero(where == b)
+            own = own[np.argsort(offset[own])]
+            assert len(own) and (offset[own] == np.r_[0, np.cumsum(lengths[own])[:-1]]).all()
+        closed += least == len(room) < plain
+    assert closed
+
+
+def test_packing_in_order_is_certified(spark):
+    """The stage asks the bound of each run; best fit alone takes a bin more here."""
+    rng = np.random.default_rng(1)
+    for k in range(300):
+        lengths = np.sort(rng.integers(3, [40, 60, 100][k % 3], rng.integers(5, 60)))[::-1]
+        if len(P.certified_fit(lengths, 100)[2]) < len(P.best_fit_decreasing(lengths, 100)[2]):
+            break
+    docs = spark.createDataFrame([(i, "a " * (int(n) - 1)) for i, n in enumerate(lengths)], "doc_id long, text string").coalesce(1)
+    rows = P.packed_in_order(docs, PATH, capacity=100).collect()
+    assert sorted(r.length for r in rows) == sorted(lengths) and len({r.sequence_id for r in rows}) == P.least_bins(lengths, 100)
