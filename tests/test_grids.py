@@ -52,6 +52,25 @@ def test_each_pair_once(spark, monkeypatch, part):
     assert G.by_size(own.where("false"), G.Rule()).count() == 0 and G.by_brand(own.where("false"), G.Rule()).count() == 0
 
 
+@pytest.mark.parametrize("alike", [256, 3])
+def test_rows_of_alike_products(spark, monkeypatch, alike):
+    """Products that are alike come as one row, in pieces, and give the pairs that they give one by one."""
+    monkeypatch.setattr(G, "PART", 40)
+    monkeypatch.setattr(G, "ALIKE", alike)
+    raw = X.raw_parts(spark, SF).where("product_id <= 60")
+    raw = raw.unionByName(raw.withColumn("product_id", F.col("product_id") + 1000))
+    raw = raw.unionByName(raw.where("product_id < 9").crossJoin(spark.range(1, 8)).withColumn("product_id", F.col("product_id") + F.shiftleft("id", 20)).drop("id"))
+    known = P.brands(raw)
+    one, rows = P.prepared(X.cleaned(raw), known).persist(), P.prepared(X.cleaned(X.alike(raw)), known).persist()
+    assert rows.count() < one.count() == rows.agg(F.sum(F.size("ids"))).first()[0]
+    for fast in (False, True):
+        method = P.msmp_fast if fast else P.msmp
+        want, got = (sorted(tuple(r) for r in method(own, digits=6).collect()) for own in (one, rows))
+        assert want == got and want
+    want, got = ({tuple(r) for r in G.by_brand(own, G.Rule(brand="same", size="other")).collect()} for own in (one, rows))
+    assert want == got and want
+
+
 def test_measures(spark):
     m = Matching(gamma=0.3)
     own = P.prepared(X.parts(spark, SF), P.brands(X.raw_parts(spark, SF))).persist()
