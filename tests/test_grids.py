@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.config import Matching
 from pairloom.functions import similarity as S
 from pairloom.functions.text import clean, clean_map
+from pairloom.operators import blocking as B
 from pairloom.operators import grids as G
 from pairloom.operators import matching as P
 from pairloom.operators import measures as N
@@ -71,6 +72,23 @@ def test_rows_of_alike_products(spark, monkeypatch, alike):
     assert want == got and want
 
 
+def test_gated_without_listing_candidates(spark, monkeypatch):
+    """Pairs that share a band, found where they meet, are the candidates' pairs; in several parts a block."""
+    monkeypatch.setattr(G, "GATED", 30)
+    raw = X.raw_parts(spark, SF).where("product_id <= 110")
+    raw = raw.unionByName(raw.where("product_id <= 30").withColumn("product_id", F.col("product_id") + 1000))
+    products, rows = X.cleaned(raw), X.cleaned(X.alike(raw))
+    words = B.vocabulary(products).persist()
+    hashes = B.Hashes.of(words.count())
+    known = P.brands(raw)
+    own = P.prepared(rows, known).join(B.packed(B.incidence(rows, words), hashes), "product_id").persist()
+    met = B.candidates(B.signatures(B.incidence(products, words), hashes), 0.3, hashes.n).persist()
+    for fast, method in ((False, P.msmp), (True, P.msmp_fast)):
+        want = sorted(tuple(r) for r in method(P.prepared(products, known), met, digits=6).collect())
+        got = P.msmp_gated(own, 0.3, hashes.n, fast=fast, digits=6)
+        assert sorted(tuple(r) for r in got.collect()) == want and want
+
+
 def test_measures(spark):
     m = Matching(gamma=0.3)
     own = P.prepared(X.parts(spark, SF), P.brands(X.raw_parts(spark, SF))).persist()
