@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,25 @@ def test_alike_parts(spark, tmp_path):
     one = {i: (r[2:]) for r in want for i in r[1]}
     assert sorted(i for r in have for i in r[1]) == sorted(one) and all(one[i] == r[2:] for r in have for i in r[1])
     assert len(have) < len(one) / 1.5
+
+
+@pytest.mark.parametrize("most", [3000, 0])
+def test_measures_of_pairs(monkeypatch, most):
+    """Pairs measured one by one are those of the matrix, to the last bit; also where words are too many for a table of all."""
+    monkeypatch.setattr(N, "MOST", most)
+    rng = np.random.default_rng(5)
+    texts = ["led40", "hd1080p", "40inch", "120hz", "b7x", "7bx", "ab12cd"]
+    draw = lambda: [texts[k] for k in sorted(set(rng.integers(0, 7, 4).tolist()))][: int(rng.integers(0, 5))]
+    rows = [draw() for _ in range(300)]
+    hybrid = lambda w: {"word": w, "number": "".join(filter(str.isdigit, w)), "letters": "".join(filter(str.isalpha, w))}
+    kind = pa.list_(pa.struct([("word", pa.string()), ("number", pa.string()), ("letters", pa.string())]))
+    table = pa.table({
+        "words": rows, "model_words": [draw() for _ in rows], "hybrids": pa.array([list(map(hybrid, r)) for r in rows], kind), "value_words": [draw() for _ in rows],
+        "n_features": rng.integers(18, 24, 300).tolist(),
+    })
+    for name in ("msmp", "fast"):
+        measured = N.Measure(name, digits=None).of(table, np.arange(300))
+        a, b = rng.integers(0, 300, (2, 1000))
+        got = measured.paired(a, b)[0]
+        want = np.array([measured.values(a[k : k + 1], b[k : k + 1])[0][0, 0] for k in range(1000)])
+        assert (got == want).all() and len(set(want)) > 20
